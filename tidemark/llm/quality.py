@@ -1,6 +1,6 @@
 """Operator 3: quality classifier by hierarchical empirical Bayes.
 
-Document evidence: two logistic models (low quality; toxic) over hashed words and a few bins of text statistics, fitted
+Document evidence: two logistic models (low quality; toxic) over hashed words, their beginnings and a few bins of text statistics, fitted
 on a bounded sample of labelled documents and applied to all. A model's log odds less those of its training prior are a
 document's log likelihood ratio. Site evidence: over all documents, expected bad counts are grouped by path (source and
 language) and by host (source); a host's rate is shrunk towards the global one, a path's towards its host's, each by a
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, ranges, slices
 
 HEADS = ("low", "toxic")
 #: The fit's bound: at most so many labelled documents, those with the smallest hashes of their ids.
@@ -25,12 +25,15 @@ FIT_ROWS = 8000
 BITS = 18
 SLICE_BYTES = 4 << 20
 N_BINS = 64
+STEMS = (5, 6, 7)
 RESULTS = ("low_rate", "toxic_rate", "p_low", "p_toxic", "reject")
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SYMBOL = np.zeros(256, dtype=bool)
-_SYMBOL[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,;:!?'\"()-"]] = True
+_SYMBOL[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,;:?'\"()-"]] = True
+_UPPER = np.zeros(256, dtype=bool)
+_UPPER[0x41:0x5B] = True
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[0x30:0x3A] = True
 _EDGE = np.zeros(256, dtype=bool)
@@ -39,13 +42,14 @@ _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def featurize(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def featurize(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all texts on end (distinct and sorted in each), and how many each has.
 
-    Features are the words present, lower-cased, without marks around them and hashed to BITS bits, then bins of text
-    statistics from 2**BITS on.
+    Features are the words present and their beginnings of STEMS bytes, lower-cased, without marks around them and
+    hashed to BITS bits, then bins of text statistics from 2**BITS on. keep: only features whose flag is set.
     """
-    raw = b" ".join([b" " * 8, *(x.lower() for x in texts), b" " * 8])
+    cased = b" ".join([b" " * 8, *texts, b" " * 8])
+    raw = cased.lower()
     data = np.frombuffer(raw, dtype=np.uint8)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     text_starts = 9 + np.cumsum(sizes + 1) - sizes - 1
@@ -59,32 +63,56 @@ def featurize(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ends = ends - (_EDGE[data[ends - 1]] & (ends - starts > 1))
     eights = np.ndarray(shape=(len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
     length = ends - starts
-    head = eights[starts] & _KEEP[np.minimum(length, 8)]
+    front = eights[starts]
+    head = front & _KEEP[np.minimum(length, 8)]
     tail = np.where(length > 8, eights[np.maximum(ends - 8, 0)], np.uint64(0))
-    mixed = (head * _A) ^ (tail * _B) ^ length.astype(np.uint64)
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * _A
-    number = (mixed >> np.uint64(64 - BITS)).astype(np.int64)
-    keys = np.unique(doc << 32 | number)
+    whole = (head * _A) ^ (tail * _B) ^ length.astype(np.uint64)
+    parts = []
+    for salt, mixed in enumerate([whole, *((front & _KEEP[n]) * _B for n in STEMS)]):
+        mixed = (mixed ^ (mixed >> np.uint64(32)) ^ np.uint64(salt << 40)) * _A
+        number = (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+        has = np.ones(len(number), dtype=bool) if not salt else length >= STEMS[salt - 1]
+        if keep is not None:
+            has &= keep[number]
+        parts.append(doc[has] << 32 | number[has])
+    repeats = np.zeros(len(starts), dtype=bool)
+    repeats[1:] = (whole[1:] == whole[:-1]) & (doc[1:] == doc[:-1])
     upto = lambda flags: np.concatenate([[0], np.cumsum(flags)])
     inner = lambda flags: (lambda c: c[text_starts + sizes] - c[text_starts])(upto(flags))
-    distinct = np.bincount(keys >> 32, minlength=len(texts))
-    at_least = np.maximum(sizes, 1)
-    ratios = [inner(_SYMBOL[data]) / at_least, inner(_DIGIT[data]) / at_least, distinct / np.maximum(n_words, 1), np.log2(n_words + 1) / 16, sizes / np.maximum(n_words, 1) / 40]
-    scale = [40, 40, 10, 10, 10]
-    bins = np.stack([np.minimum((r * s).astype(np.int64), 9) + 10 * k for k, (r, s) in enumerate(zip(ratios, scale, strict=True))], axis=1) + (1 << BITS)
-    rows = np.repeat(np.arange(len(texts)), bins.shape[1])
-    keys = np.sort(np.concatenate([keys, rows << 32 | bins.ravel()]))
+    at_least, some_words = np.maximum(sizes, 1), np.maximum(n_words, 1)
+    ratios = [inner(_SYMBOL[data]) / at_least * 60, inner(_UPPER[np.frombuffer(cased, dtype=np.uint8)]) / at_least * 15, np.bincount(doc, weights=repeats, minlength=len(texts)) / some_words * 15, inner(_DIGIT[data]) / at_least * 30, np.log2(n_words + 1) / 1.6]
+    for k, r in enumerate(ratios):  # level r has the features of all levels below too
+        levels = np.minimum(np.ceil(r).astype(np.int64), 9)
+        parts.append(np.repeat(np.arange(len(texts)), levels) << 32 | (ranges(np.zeros(len(texts), dtype=np.int64), levels) + 10 * k + (1 << BITS)))
+    keys = np.unique(np.concatenate(parts))
     return keys & 0xFFFFFFFF, np.bincount(keys >> 32, minlength=len(texts))
 
 
-def fit_logistic(features: list[np.ndarray], labels: np.ndarray, rounds: int = 60, rate: float = 0.3, decay: float = 1e-5, least: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias by adaptive full-batch gradient steps; features in fewer than `least` rows stay at zero."""
+def telling(flat: np.ndarray, row: np.ndarray, labels: np.ndarray, most: int = 4096, least: int = 5, evidence: float = 14.0) -> np.ndarray:
+    """The features whose presence goes with the label: likelihood ratio statistic over `evidence`, the `most` strongest; all bins."""
+    size = (1 << BITS) + N_BINS
+    n, bad = max(1, len(labels)), max(1e-9, float(labels.sum()))
+    df = np.bincount(flat, minlength=size).astype(np.float64)
+    hit = np.bincount(flat, weights=labels[row], minlength=size)
+    score = np.zeros(size)
+    for seen, expected in ((hit, df * bad / n), (df - hit, df * (n - bad) / n), (bad - hit, (n - df) * bad / n), (n - bad - (df - hit), (n - df) * (n - bad) / n)):
+        score += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    score[df < least] = 0
+    score[score < evidence] = 0
+    chosen = np.argsort(-score, kind="stable")[:most]
+    out = np.zeros(size, dtype=bool)
+    out[chosen[score[chosen] > 0]] = True
+    out[1 << BITS :] = True
+    return out
+
+
+def fit_logistic(features: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias by adaptive full-batch gradient steps over the telling features; the others' weights are zero."""
     size = (1 << BITS) + N_BINS
     sizes = np.array([len(x) for x in features], dtype=np.int64)
     flat = np.concatenate(features) if features else np.zeros(0, dtype=np.int64)
     row = np.repeat(np.arange(len(features)), sizes)
-    frequent = np.bincount(flat, minlength=size) >= least
-    kept = frequent[flat]
+    kept = telling(flat, row, labels)[flat]
     flat, row = flat[kept], row[kept]
     used, flat = np.unique(flat, return_inverse=True)
     w, s = np.zeros(len(used)), np.full(len(used), 1e-8)
@@ -114,10 +142,11 @@ class Model:
             weights, bias = fit_logistic([features[i] for i in known.tolist()], y)
             prior = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
             self.heads.append((weights, bias, float(np.log(prior / (1 - prior))) if len(y) else bias))
+        self.keep = np.any([weights != 0 for weights, _, _ in self.heads], axis=0)
 
     def evidence(self, texts: list[bytes]) -> list[np.ndarray]:
         """Each head's log likelihood ratios."""
-        flat, sizes = featurize(texts)
+        flat, sizes = featurize(texts, self.keep)
         row = np.repeat(np.arange(len(texts)), sizes)
         return [bias - prior + np.bincount(row, weights=weights[flat], minlength=len(texts)) for weights, bias, prior in self.heads]
 
