@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Distinct space-delimited pieces that one Python worker remembers before it starts afresh.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,8 +72,8 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
-_UNSAFE = re.compile(r"\s ")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= )")
+_UNSAFE = re.compile(r"\s\s")
+_SAFE_CUT = re.compile(r"(?<=\S)(?= (?!\n)|\n)")
 _loaded: dict = {}
 
 
@@ -91,42 +91,82 @@ def tokenizer(path: str):
 
 
 class _Numbers(dict):
-    """Numbers keys as they come: those not seen yet get the next number and wait in todo."""
+    """Numbers pieces as they come. A key is a piece without its leading space, or with its leading line end.
 
-    def __init__(self, lead: str, todo: list[str]):
-        self.lead, self.todo, self.base = lead, todo, 0
+    New pieces wait in todo. One that is a line end and a word, or a word and closing marks, is made of the numbers of
+    its parts instead: a pre-token ends between them.
+    """
+
+    def __init__(self, lead: str, owner: PieceEncoder):
+        self.lead, self.owner = lead, owner
 
     def __missing__(self, key: str) -> int:
-        self[key] = number = self.base + len(self.todo)
-        self.todo.append(self.lead + key)
+        owner = self.owner
+        if key[:1] == "\n":
+            parts = (owner.bare["\n"], owner.bare[key[1:]]) if len(key) > 1 and not key[1].isspace() and self.lead else None
+        else:
+            word = key.rstrip(".,")
+            parts = (self[word], owner.bare[key[len(word) :]]) if 0 < len(word) < len(key) and word[-1].isalnum() else None
+        self[key] = number = owner.n + owner.waiting
+        owner.waiting += 1
+        if parts:
+            owner.composed.append((number, *parts))
+        else:
+            owner.todo.append((number, key if key[:1] == "\n" else self.lead + key))
         return number
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizers-library file, each distinct piece of text once.
+    """Encodes texts with a byte-level file of the tokenizers library, each distinct piece of text once.
 
-    A piece begins at a space that follows a non-space character. No pre-token of the supported files reaches
-    across such a place (their patterns take white space only at a token's start, or drop it), and neither does a
-    special token, so a text's ids are its pieces' ids in order.
+    A piece begins at a space or line end that follows a non-space character. No pre-token reaches across such a place
+    (the pattern takes white space only at a token's start), and neither does a special token, so a text's ids are its
+    pieces' ids in order.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         self.tokenizer, self.cache_pieces = tokenizer(path), cache_pieces
         # Pieces are learnt many to a string where a line end stays a token of its own between them.
-        line, both = self._plain("\n"), self._plain(" a\n b")
-        self.line = line[0] if len(line) == 1 and both == self._plain(" a") + line + self._plain(" b") else None
+        line, both = self._plain("\n"), self._plain(" a\nb\n c")
+        self.line = line[0] if len(line) == 1 and both == self._plain(" a") + line + self._plain("b") + line + self._plain(" c") else None
         self._clear()
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self.todo: list[str] = []
-        self.known, self.first = _Numbers(" ", self.todo), _Numbers("", self.todo)
+        self.todo: list[tuple[int, str]] = []
+        self.composed: list[tuple[int, int, int]] = []
+        self.spaced, self.bare = _Numbers(" ", self), _Numbers("", self)
         self.starts = np.zeros(1024, dtype=np.int64)
         self.lengths = np.zeros(1024, dtype=np.int64)
+        self.uses = np.zeros(1024, dtype=np.int64)
         self.flat = np.zeros(8192, dtype=np.uint32)
-        self.n, self.used = 0, 0
+        self.n = self.waiting = self.used = 0
+
+    def _forget(self) -> None:
+        """Keeps only the pieces used more than once since the last time."""
+        old = self.starts, self.lengths, self.flat
+        again = np.flatnonzero(self.uses[: self.n] > 1)
+        new_number = np.full(self.n, -1, dtype=np.int64)
+        new_number[again] = np.arange(len(again))
+        held = [(known.lead, [(k, m) for k, v in known.items() if (m := int(new_number[v])) >= 0]) for known in (self.spaced, self.bare)]
+        self._clear()
+        if len(again) > self.cache_pieces // 2:
+            return
+        for lead, pairs in held:
+            (self.spaced if lead else self.bare).update(pairs)
+        sizes = old[1][again]
+        self._room(len(again), int(sizes.sum()))
+        self.starts[: len(again)], self.lengths[: len(again)] = np.cumsum(sizes) - sizes, sizes
+        self.flat[: int(sizes.sum())] = old[2][ranges(old[0][again], sizes)]
+        self.n, self.used = len(again), int(sizes.sum())
+
+    def _room(self, pieces: int, ids: int) -> None:
+        while self.n + pieces > len(self.starts):
+            self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.uses))
+        while self.used + ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' ids on end, and how many each has."""
@@ -134,58 +174,67 @@ class PieceEncoder:
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
 
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self._room(0, len(ids))
+        self.starts[numbers], self.lengths[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
     def _learn(self) -> None:
-        todo = self.todo
-        if not todo:
+        if not self.waiting:
             return
-        plain = [x[:1] == " " and x[1:].split() == [x[1:]] and "<|" not in x for x in todo] if self.line is not None else [False] * len(todo)
-        sizes = np.zeros(len(todo), dtype=np.int64)
-        easy, hard = (np.flatnonzero(np.array(plain) == want) for want in (True, False))
-        words, rest = [todo[i] for i in easy.tolist()], [todo[i] for i in hard.tolist()]
-        joined, _ = self._ids(["\n".join(words[i : i + 64]) + "\n" for i in range(0, len(words), 64)])
-        ends = np.flatnonzero(joined == self.line) if words else np.zeros(0, dtype=np.int64)
-        sizes[easy] = np.diff(ends, prepend=-1) - 1
-        other, sizes[hard] = self._ids(rest)
-        need = int(sizes.sum())
-        while self.n + len(todo) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        while self.used + need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        starts = self.used + np.cumsum(sizes) - sizes
-        self.starts[self.n : self.n + len(todo)], self.lengths[self.n : self.n + len(todo)] = starts, sizes
-        self.flat[ranges(starts[easy], sizes[easy])] = joined[joined != self.line] if words else joined
-        self.flat[ranges(starts[hard], sizes[hard])] = other
-        self.n, self.used = self.n + len(todo), self.used + need
-        todo.clear()
-        self.known.base = self.first.base = self.n
+        self._room(self.waiting, 0)
+        easy = [x for x in self.todo if (y := x[1][x[1][:1] == " " :]).split() == [y] and "<|" not in y] if self.line is not None else []
+        if easy:
+            words = [x[1] for x in easy]
+            joined, _ = self._ids(["\n".join(words[i : i + 64]) + "\n" for i in range(0, len(words), 64)])
+            ends = np.flatnonzero(joined == self.line)
+            self._store(np.array([x[0] for x in easy]), joined[joined != self.line], np.diff(ends, prepend=-1) - 1)
+        done = {x[0] for x in easy}
+        if hard := [x for x in self.todo if x[0] not in done]:
+            self._store(np.array([x[0] for x in hard]), *self._ids([x[1] for x in hard]))
+        if self.composed:  # parts come before what is made of them; one part may be made of parts itself
+            made = np.array(self.composed, dtype=np.int64)
+            pending = np.zeros(self.n + self.waiting, dtype=bool)
+            pending[made[:, 0]] = True
+            while len(made):
+                ready = ~(pending[made[:, 1]] | pending[made[:, 2]])
+                now = made[ready]
+                parts = now[:, 1:].ravel()
+                sizes = self.lengths[parts]
+                self._store(now[:, 0], self.flat[ranges(self.starts[parts], sizes)], sizes.reshape(-1, 2).sum(axis=1))
+                pending[now[:, 0]] = False
+                made = made[~ready]
+        self.n += self.waiting
+        self.waiting = 0
+        self.todo.clear()
+        self.composed.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and each text's number of ids."""
         if self.n > self.cache_pieces:
-            self._clear()
+            self._forget()
         heads: list[str] = []
         rest: list[str] = []
         counts = np.zeros(len(texts), dtype=np.int64)
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if _UNSAFE.search(text):
+            if text[0].isspace() or _UNSAFE.search(text):
                 pieces = _SAFE_CUT.split(text)
-                heads.append(pieces[0])
-                rest += [x[1:] for x in pieces[1:]]
+                rest += [x[x[:1] == " " :] for x in pieces[1:]]
                 counts[k] = len(pieces)
             else:
-                pieces = text.split(" ")
-                if not pieces[0] and len(pieces) > 1:  # a space in front belongs to the first piece
-                    pieces[:2] = [" " + pieces[1]]
-                heads.append(pieces[0])
-                del pieces[0]
-                rest += pieces
-                counts[k] = len(pieces) + 1
+                pieces = text.replace("\n", " \n").split(" ")
+                counts[k] = len(pieces)
+                rest += pieces[1:]
+            heads.append(pieces[0])
         if not heads:
             return np.zeros(0, dtype=np.uint32), counts
-        a, b = (np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)) for known, pieces in ((self.first, heads), (self.known, rest)))
+        a, b = (np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)) for known, pieces in ((self.bare, heads), (self.spaced, rest)))
         self._learn()
+        for used in (a, b):
+            self.uses[: self.n] += np.bincount(used, minlength=self.n)
         numbers = np.empty(len(a) + len(b), dtype=np.int64)
         full = counts[counts > 0]
         at_head = np.cumsum(full) - full

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, pii, quality, simhash_dedup, token_count, token_output, topk, url_filter
+from . import bpe, decontaminate, pii, quality, simhash_dedup, suffix_dedup, token_count, token_output, topk, url_filter
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "source", "lang", "low_rate", "toxic_rate", "p_low", "p_toxic", "reject")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,7 +54,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_output, op2_decontamination, op3_quality, op5_token_counts, op6_simhash, op7_pii, op8_topk, op9_url_filter, op10_bpe)
+    own = (op1_token_output, op2_decontamination, op3_quality, op4_suffix_dedup, op5_token_counts, op6_simhash, op7_pii, op8_topk, op9_url_filter, op10_bpe)
     return {f.__name__: f for f in own}
 
 
