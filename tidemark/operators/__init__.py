@@ -1 +1 @@
-
+"""Relational, history, encoding, evidence and decision operators over DataFrames."""

@@ -1 +1 @@
-
+"""Live counterparts of the history operators."""
