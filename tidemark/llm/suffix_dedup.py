@@ -37,8 +37,8 @@ LENGTH = 50
 GRAM = 16
 #: Offsets a window's anchor can have; also the longest left context and one more.
 OFFSETS = LENGTH - GRAM + 1
-RUN_BYTES = 16 << 20
-PIECE_BYTES = 1 << 20
+RUN_BYTES = 8 << 20
+PIECE_BYTES = 1 << 18
 HASH_BITS = 48
 LANES = 512
 
