@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from tidemark.plans import history
+from tidemark.plans import encode, history
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "history"]
+__all__ = ["ORACLES", "QUERIES", "encode", "history"]
