@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PieceEncoder, slices
+from .common import piece_encoder, slices
 
 LEAF_CHARS = 8192
 WINDOW_TOKENS = 12
@@ -43,7 +43,7 @@ class TreeEncoder:
     """Encodes and decodes with a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str, leaf_chars: int = LEAF_CHARS, window: int = WINDOW_TOKENS):
-        self.pieces, self.leaf_chars, self.window = PieceEncoder(path), leaf_chars, window
+        self.pieces, self.leaf_chars, self.window = piece_encoder(path), leaf_chars, window
         self.bytes = token_bytes(self.pieces.tokenizer)
         self.sizes = np.array([len(x) for x in self.bytes], dtype=np.int64)
         self.joins = self.grown = 0

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PieceEncoder, parallelism, shared_dir, slices, tokenizer
+from .common import parallelism, piece_encoder, shared_dir, slices, tokenizer
 
 BLOCK_IDS = 1 << 20
 SLICE_BYTES = 4 << 20
@@ -56,7 +56,7 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
 
 def _blocks(path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = PieceEncoder(path), TaskContext.get().partitionId()
+        encoder, shard = piece_encoder(path), TaskContext.get().partitionId()
         block = start = held = 0
         docs: list = []
         parts: list[np.ndarray] = []
