@@ -28,5 +28,6 @@ def numbered(df: DataFrame, order: list[Column], block: Column, name: str = "row
     dealt = df.withColumn("__block", block)
     sizes = dealt.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
     base = sizes.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    joined = dealt.join(base, F.col("__block").eqNullSafe(base["__block"])).drop(base["__block"])
+    named = base.select(F.col("__block").alias("__of"), "__base")
+    joined = dealt.join(named, F.col("__block").eqNullSafe(F.col("__of"))).drop("__of")
     return joined.withColumn(name, F.col("__base") + F.row_number().over(Window.partitionBy("__block").orderBy(*order)) - 1).drop("__block", "__base")
