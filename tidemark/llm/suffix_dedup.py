@@ -55,7 +55,7 @@ def _anchors_of(data: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> tu
     mixed ^= mixed >> np.uint64(29)
     mixed *= _A
     low = np.uint64(64 - HASH_BITS)
-    hashes = mixed >> low
+    hashes = ((mixed ^ (mixed >> np.uint64(32))) * _B) >> low  # mixed anew: anchors are where `mixed` is small
     # Minimum over OFFSETS grams by doubling; the place breaks ties, 22 bits of it, the hash has the others.
     least = (mixed >> np.uint64(22) << np.uint64(22)) | np.arange(len(mixed), dtype=np.uint64)
     width = 1
