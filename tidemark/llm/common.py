@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Distinct space-delimited pieces that one Python worker remembers before it starts afresh.
-CACHE_PIECES = 700_000
+#: Distinct pieces that one Python worker remembers before it forgets those used once; some 200 bytes each.
+CACHE_PIECES = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,8 +68,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     if not total:
         return np.zeros(0, dtype=np.int64)
-    before = np.cumsum(lengths) - lengths
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
+    steps = np.ones(total, dtype=np.int64)
+    full = lengths > 0
+    starts, lengths = starts[full], lengths[full]
+    steps[0] = starts[0]
+    steps[np.cumsum(lengths)[:-1]] = starts[1:] - starts[:-1] - lengths[:-1] + 1
+    return np.cumsum(steps, out=steps)
 
 
 _UNSAFE = re.compile(r"\s\s")
@@ -251,8 +255,9 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def piece_encoder(path: str) -> PieceEncoder:
+def piece_encoder(path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
     """The worker's own encoder of a file: what one task has learnt serves the next."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].cache_pieces = cache_pieces
     return _encoders[path]

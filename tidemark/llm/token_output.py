@@ -22,6 +22,7 @@ from .common import parallelism, piece_encoder, shared_dir, slices, tokenizer
 
 BLOCK_IDS = 1 << 20
 SLICE_BYTES = 4 << 20
+CACHE_PIECES = 1_300_000
 BLOCKS = "shard int, block int, block_start long, width int, n_ids long, doc_ids array<long>, doc_ends array<long>, payload binary"
 
 
@@ -56,7 +57,7 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
 
 def _blocks(path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = piece_encoder(path), TaskContext.get().partitionId()
+        encoder, shard = piece_encoder(path, CACHE_PIECES), TaskContext.get().partitionId()
         block = start = held = 0
         docs: list = []
         parts: list[np.ndarray] = []
@@ -95,7 +96,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
     """
     vocabulary = max(tokenizer(tokenizer_path).get_vocab_size(), end_id + 1)
     ordered = docs.select("doc_id", "text").repartitionByRange(parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_blocks(tokenizer_path, end_id, width_of(vocabulary)), BLOCKS).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(_blocks(tokenizer_path, end_id, width_of(vocabulary)), BLOCKS).write.option("compression", "none").parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
