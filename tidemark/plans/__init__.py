@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from tidemark.plans import encode, evidence, graph, history, metrics
+from tidemark.plans import encode, evidence, graph, history, metrics, predicates
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "encode", "evidence", "graph", "history", "metrics"]
+__all__ = ["ORACLES", "QUERIES", "encode", "evidence", "graph", "history", "metrics", "predicates"]
