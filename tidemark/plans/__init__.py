@@ -1,6 +1,6 @@
 """Registered queries and the SQL that checks them."""
 
-from tidemark.plans import encode, evidence, graph, history, metrics, predicates, splits
+from tidemark.plans import boost, encode, evidence, graph, history, metrics, predicates, splits
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "encode", "evidence", "graph", "history", "metrics", "predicates", "splits"]
+__all__ = ["ORACLES", "QUERIES", "boost", "encode", "evidence", "graph", "history", "metrics", "predicates", "splits"]
