@@ -85,4 +85,5 @@ def test_gate_rejects_noise_and_accepts_signal(spark):
     clip = lambda c: F.least(F.greatest(c, F.lit(0.01)), F.lit(0.99))
     df = df.select("fold", "y", *(clip(F.col(c)).alias(c) for c in ("base", "good", "noise")))
     good, noise = (M.probability_gate(df, "y", "base", c, "fold") for c in ("good", "noise"))
-    assert good["rank"] and good["decision"] and not noise["decision"]
+    assert good["decision"] and good["wins"] > good["losses"], good
+    assert good["auc_gain"] > noise["auc_gain"] and not noise["decision"] and not noise["rank"], noise
