@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -78,6 +79,19 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 _UNSAFE = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= (?!\n)|\n)")
+#: White space that is neither a space nor a line end, as ASCII has it.
+_RARE_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def _uneven(text: str) -> bool:
+    """Whether white space may follow white space; the plain cases are told without a regular expression."""
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+        return True
+    if text.isascii():
+        return any(c in text for c in _RARE_SPACE)
+    return _UNSAFE.search(text) is not None
+
+
 _loaded: dict = {}
 
 
@@ -149,7 +163,7 @@ class PieceEncoder:
         self.n = self.waiting = self.used = 0
 
     def _forget(self) -> None:
-        """Keeps only the pieces used more than once since the last time."""
+        """Keeps only the pieces that more than one batch has used since the last time."""
         old = self.starts, self.lengths, self.flat
         again = np.flatnonzero(self.uses[: self.n] > 1)
         new_number = np.full(self.n, -1, dtype=np.int64)
@@ -191,7 +205,7 @@ class PieceEncoder:
         easy = [x for x in self.todo if (y := x[1][x[1][:1] == " " :]).split() == [y] and "<|" not in y] if self.line is not None else []
         if easy:
             words = [x[1] for x in easy]
-            joined, _ = self._ids(["\n".join(words[i : i + 64]) + "\n" for i in range(0, len(words), 64)])
+            joined, _ = self._ids(["\n".join(words[i : i + 256]) + "\n" for i in range(0, len(words), 256)])
             ends = np.flatnonzero(joined == self.line)
             self._store(np.array([x[0] for x in easy]), joined[joined != self.line], np.diff(ends, prepend=-1) - 1)
         done = {x[0] for x in easy}
@@ -215,7 +229,19 @@ class PieceEncoder:
         self.composed.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order (uint32), and each text's number of ids."""
+        """All ids in order (uint32), and each text's number of ids.
+
+        The collector of cycles rests meanwhile: there are none, and each of its rounds would walk all known pieces.
+        """
+        rests = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if rests:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self.n > self.cache_pieces:
             self._forget()
         heads: list[str] = []
@@ -224,7 +250,7 @@ class PieceEncoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if text[0].isspace() or _UNSAFE.search(text):
+            if text[0].isspace() or _uneven(text):
                 pieces = _SAFE_CUT.split(text)
                 rest += [x[x[:1] == " " :] for x in pieces[1:]]
                 counts[k] = len(pieces)
@@ -237,8 +263,8 @@ class PieceEncoder:
             return np.zeros(0, dtype=np.uint32), counts
         a, b = (np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)) for known, pieces in ((self.bare, heads), (self.spaced, rest)))
         self._learn()
-        for used in (a, b):
-            self.uses[: self.n] += np.bincount(used, minlength=self.n)
+        for used in (a, b):  # counts batches, not occurrences
+            self.uses[used] += 1
         numbers = np.empty(len(a) + len(b), dtype=np.int64)
         full = counts[counts > 0]
         at_head = np.cumsum(full) - full
