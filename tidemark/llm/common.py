@@ -158,7 +158,7 @@ class PieceEncoder:
         self.spaced, self.bare = _Numbers(" ", self), _Numbers("", self)
         self.starts = np.zeros(1024, dtype=np.int64)
         self.lengths = np.zeros(1024, dtype=np.int64)
-        self.uses = np.zeros(1024, dtype=np.int64)
+        self.uses = np.zeros(1024, dtype=np.uint16)
         self.flat = np.zeros(8192, dtype=np.uint32)
         self.n = self.waiting = self.used = 0
 
@@ -168,12 +168,16 @@ class PieceEncoder:
         again = np.flatnonzero(self.uses[: self.n] > 1)
         new_number = np.full(self.n, -1, dtype=np.int64)
         new_number[again] = np.arange(len(again))
-        held = [(known.lead, [(k, m) for k, v in known.items() if (m := int(new_number[v])) >= 0]) for known in (self.spaced, self.bare)]
+        known = self.spaced, self.bare
+        few = len(again) <= self.cache_pieces // 2
         self._clear()
-        if len(again) > self.cache_pieces // 2:
+        if not few:
             return
-        for lead, pairs in held:
-            (self.spaced if lead else self.bare).update(pairs)
+        for old_known, new_known in zip(known, (self.spaced, self.bare), strict=True):
+            while old_known:  # moved one by one, so that the two never stand side by side
+                key, number = old_known.popitem()
+                if (m := int(new_number[number])) >= 0:
+                    new_known[key] = m
         sizes = old[1][again]
         self._room(len(again), int(sizes.sum()))
         self.starts[: len(again)], self.lengths[: len(again)] = np.cumsum(sizes) - sizes, sizes
@@ -263,8 +267,8 @@ class PieceEncoder:
             return np.zeros(0, dtype=np.uint32), counts
         a, b = (np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)) for known, pieces in ((self.bare, heads), (self.spaced, rest)))
         self._learn()
-        for used in (a, b):  # counts batches, not occurrences
-            self.uses[used] += 1
+        for used in (a, b):  # counts batches, not occurrences; two are enough to know
+            self.uses[used] = np.minimum(self.uses[used], 9) + 1
         numbers = np.empty(len(a) + len(b), dtype=np.int64)
         full = counts[counts > 0]
         at_head = np.cumsum(full) - full

@@ -106,7 +106,7 @@ def telling(flat: np.ndarray, row: np.ndarray, labels: np.ndarray, most: int = 4
     return out
 
 
-def fit_logistic(features: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_logistic(features: list[np.ndarray], labels: np.ndarray, rounds: int = 300, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by adaptive full-batch gradient steps over the telling features; the others' weights are zero."""
     size = (1 << BITS) + N_BINS
     sizes = np.array([len(x) for x in features], dtype=np.int64)

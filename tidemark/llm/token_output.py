@@ -22,7 +22,7 @@ from .common import parallelism, piece_encoder, shared_dir, slices, tokenizer
 
 BLOCK_IDS = 1 << 20
 SLICE_BYTES = 4 << 20
-CACHE_PIECES = 1_300_000
+CACHE_PIECES = 1_100_000
 BLOCKS = "shard int, block int, block_start long, width int, n_ids long, doc_ids array<long>, doc_ends array<long>, payload binary"
 
 
