@@ -111,26 +111,26 @@ def tokenizer(path: str):
 class _Numbers(dict):
     """Numbers pieces as they come. A key is a piece without its leading space, or with its leading line end.
 
-    New pieces wait in todo. One that is a line end and a word, or a word and closing marks, is made of the numbers of
+    New pieces wait to be learnt. One that is a line end and a word, or a word and closing marks, is made of the numbers of
     its parts instead: a pre-token ends between them.
     """
 
-    def __init__(self, lead: str, owner: PieceEncoder):
-        self.lead, self.owner = lead, owner
+    def __init__(self, lead: str, waiting: list):
+        self.lead, self.waiting, self.start, self.bare = lead, waiting, 0, self
 
     def __missing__(self, key: str) -> int:
-        owner = self.owner
+        item: str | tuple[int, int] = self.lead + key
         if key[:1] == "\n":
-            parts = (owner.bare["\n"], owner.bare[key[1:]]) if len(key) > 1 and not key[1].isspace() and self.lead else None
+            item = key
+            if len(key) > 1 and self.lead and not key[1].isspace():
+                item = (self.bare["\n"], self.bare[key[1:]])
         else:
             word = key.rstrip(".,")
-            parts = (self[word], owner.bare[key[len(word) :]]) if 0 < len(word) < len(key) and word[-1].isalnum() else None
-        self[key] = number = owner.n + owner.waiting
-        owner.waiting += 1
-        if parts:
-            owner.composed.append((number, *parts))
-        else:
-            owner.todo.append((number, key if key[:1] == "\n" else self.lead + key))
+            if 0 < len(word) < len(key) and word[-1].isalnum():
+                item = (self[word], self.bare[key[len(word) :]])
+        waiting = self.waiting
+        self[key] = number = self.start + len(waiting)
+        waiting.append(item)
         return number
 
 
@@ -153,14 +153,14 @@ class PieceEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _clear(self) -> None:
-        self.todo: list[tuple[int, str]] = []
-        self.composed: list[tuple[int, int, int]] = []
-        self.spaced, self.bare = _Numbers(" ", self), _Numbers("", self)
+        self.waiting: list[str | tuple[int, int]] = []
+        self.spaced, self.bare = _Numbers(" ", self.waiting), _Numbers("", self.waiting)
+        self.spaced.bare = self.bare
         self.starts = np.zeros(1024, dtype=np.int64)
         self.lengths = np.zeros(1024, dtype=np.int64)
         self.uses = np.zeros(1024, dtype=np.uint16)
         self.flat = np.zeros(8192, dtype=np.uint32)
-        self.n = self.waiting = self.used = 0
+        self.n = self.used = 0
 
     def _forget(self) -> None:
         """Keeps only the pieces that more than one batch has used since the last time."""
@@ -183,6 +183,7 @@ class PieceEncoder:
         self.starts[: len(again)], self.lengths[: len(again)] = np.cumsum(sizes) - sizes, sizes
         self.flat[: int(sizes.sum())] = old[2][ranges(old[0][again], sizes)]
         self.n, self.used = len(again), int(sizes.sum())
+        self.spaced.start = self.bare.start = self.n
 
     def _room(self, pieces: int, ids: int) -> None:
         while self.n + pieces > len(self.starts):
@@ -205,19 +206,21 @@ class PieceEncoder:
     def _learn(self) -> None:
         if not self.waiting:
             return
-        self._room(self.waiting, 0)
-        easy = [x for x in self.todo if (y := x[1][x[1][:1] == " " :]).split() == [y] and "<|" not in y] if self.line is not None else []
+        self._room(len(self.waiting), 0)
+        texts = [(k, x) for k, x in enumerate(self.waiting, self.n) if type(x) is str]
+        easy = [x for x in texts if (y := x[1][x[1][:1] == " " :]).split() == [y] and "<|" not in y] if self.line is not None else []
         if easy:
             words = [x[1] for x in easy]
             joined, _ = self._ids(["\n".join(words[i : i + 256]) + "\n" for i in range(0, len(words), 256)])
             ends = np.flatnonzero(joined == self.line)
             self._store(np.array([x[0] for x in easy]), joined[joined != self.line], np.diff(ends, prepend=-1) - 1)
         done = {x[0] for x in easy}
-        if hard := [x for x in self.todo if x[0] not in done]:
+        if hard := [x for x in texts if x[0] not in done]:
             self._store(np.array([x[0] for x in hard]), *self._ids([x[1] for x in hard]))
-        if self.composed:  # parts come before what is made of them; one part may be made of parts itself
-            made = np.array(self.composed, dtype=np.int64)
-            pending = np.zeros(self.n + self.waiting, dtype=bool)
+        composed = [(k, *x) for k, x in enumerate(self.waiting, self.n) if type(x) is tuple]
+        if composed:  # parts come before what is made of them; one part may be made of parts itself
+            made = np.array(composed, dtype=np.int64)
+            pending = np.zeros(self.n + len(self.waiting), dtype=bool)
             pending[made[:, 0]] = True
             while len(made):
                 ready = ~(pending[made[:, 1]] | pending[made[:, 2]])
@@ -227,10 +230,9 @@ class PieceEncoder:
                 self._store(now[:, 0], self.flat[ranges(self.starts[parts], sizes)], sizes.reshape(-1, 2).sum(axis=1))
                 pending[now[:, 0]] = False
                 made = made[~ready]
-        self.n += self.waiting
-        self.waiting = 0
-        self.todo.clear()
-        self.composed.clear()
+        self.n += len(self.waiting)
+        self.waiting.clear()
+        self.spaced.start = self.bare.start = self.n
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and each text's number of ids.
@@ -267,8 +269,8 @@ class PieceEncoder:
             return np.zeros(0, dtype=np.uint32), counts
         a, b = (np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)) for known, pieces in ((self.bare, heads), (self.spaced, rest)))
         self._learn()
-        for used in (a, b):  # counts batches, not occurrences; two are enough to know
-            self.uses[used] = np.minimum(self.uses[used], 9) + 1
+        for used in (a, b):  # counts batches, not occurrences
+            self.uses[used] += 1
         numbers = np.empty(len(a) + len(b), dtype=np.int64)
         full = counts[counts > 0]
         at_head = np.cumsum(full) - full
