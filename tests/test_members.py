@@ -87,3 +87,34 @@ def test_gate_rejects_noise_and_accepts_signal(spark):
     good, noise = (M.probability_gate(df, "y", "base", c, "fold") for c in ("good", "noise"))
     assert good["decision"] and good["wins"] > good["losses"], good
     assert good["auc_gain"] > noise["auc_gain"] and not noise["decision"] and not noise["rank"], noise
+
+
+def test_temporal_gate_admits_history_only_where_it_helps(spark):
+    import random
+
+    from tidemark.operators.gates import temporal_gate
+
+    rng = random.Random(3)
+    rows = []
+    for t in range(1200):
+        h, noise, x = rng.random(), rng.random(), rng.random()
+        rows.append((t // 4, x, h, noise, int(0.2 * x + h > 0.6 + 0.1 * rng.gauss(0, 1))))
+    df = spark.createDataFrame(rows, "at long, x double, history double, noise double, y int")
+    gate = lambda c: temporal_gate(df, "at", F.floor(F.col("at") / 50), "y", ["x"], [c], rounds=4)
+    assert gate("history").selected and not gate("noise").selected
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    from tidemark.operators.quantile import at_ranks, quantiles
+
+    rng = random.Random(4)
+    xs = [rng.choice([rng.gauss(0, 1), 0.5, -1.0]) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "x double")
+    shares = [0.0, 0.1, 0.5, 0.95, 1.0]
+    assert np.allclose(quantiles(df, "x", shares), np.quantile(xs, shares))
+    assert at_ranks(df, "x", [0, 1500, 9999]) == (3000, [min(xs), sorted(xs)[1500], max(xs)])
+    assert quantiles(df.limit(0), "x", [0.5]) == [None]

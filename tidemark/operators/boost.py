@@ -15,6 +15,7 @@ from tidemark.functions.expressions import bin_left, logistic, softmax
 from tidemark.operators.cut import cut
 from tidemark.operators.evidence import best_splits, histogram
 from tidemark.operators.predicates import tree_column
+from tidemark.operators.quantile import quantiles
 
 #: Rounds between cuts of the score table's lineage.
 CUT_EVERY = 5
@@ -23,8 +24,7 @@ CUT_EVERY = 5
 def edges(df: DataFrame, features: list[str], bins: int = 32) -> dict[str, list[float]]:
     """Distinct quantile edges of each feature, so that bin <= k exactly if x <= edges[k]."""
     at = [(k + 1) / bins for k in range(bins - 1)]
-    row = df.agg(*(F.percentile(c, F.array(*(F.lit(p) for p in at))).alias(c) for c in features)).first()
-    return {c: sorted(set(row[c] or [])) for c in features}
+    return {c: sorted({v for v in quantiles(df.select(F.col(c).cast("double").alias(c)), c, at) if v is not None}) for c in features}
 
 
 @dataclass
@@ -133,7 +133,7 @@ def fit(df: DataFrame, features: list[str], target: str, objective: str = "regre
         if objective == "regression":
             residual = s[0] - F.col("__y")
             if huber is not None:
-                limit = rows.where(train).agg(F.percentile(F.abs(residual), F.lit(huber))).first()[0]
+                limit = quantiles(rows.where(train).select(F.abs(residual).alias("r")), "r", [huber])[0]
                 residual = F.least(F.greatest(residual, F.lit(-limit)), F.lit(limit))
             gradients = [(residual, F.lit(1.0))]
         elif objective == "binary":

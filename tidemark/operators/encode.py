@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import calendar, finite
+from tidemark.operators.quantile import at_ranks, quantiles
 
 MISSING = "__nan__"
 
@@ -39,8 +40,7 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Interpolated median of each column's finite values, 0 if there are none."""
-    row = df.agg(*(F.percentile(finite(F.col(c)), F.lit(0.5)).alias(c) for c in columns)).first()
-    return {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
+    return {c: quantiles(df.select(finite(F.col(c)).alias("v")), "v", [0.5])[0] or 0.0 for c in columns}
 
 
 def impute(df: DataFrame, columns: list[str], fitted: dict[str, float] | None = None) -> DataFrame:
@@ -121,11 +121,8 @@ def gaussian_means(df: DataFrame, key: str, target: str, smooth: float) -> DataF
 
 def datetime_origin(df: DataFrame, column: str) -> int:
     """Microseconds of the upper median: the value at place n // 2 of the sorted ones; 0 without any."""
-    us = F.unix_micros(F.col(column).cast("timestamp"))
-    n = df.agg(F.count(column)).first()[0]
-    if not n:
-        return 0
-    return int(df.select(us.alias("us")).where("us is not null").agg(F.expr(f"percentile_disc({(n // 2 + 0.5) / n}) WITHIN GROUP (ORDER BY us)")).first()[0])
+    times = df.select(F.unix_micros(F.col(column).cast("timestamp")).alias("us"))
+    return at_ranks(times, "us", [times.agg(F.count("us")).first()[0] // 2])[1][0] or 0
 
 
 def datetime_features(df: DataFrame, column: str, origin: int) -> DataFrame:

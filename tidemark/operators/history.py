@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.operators.prefix import prior_totals
+from tidemark.operators.quantile import quantiles
 
 MICROS = 1_000_000.0
 
@@ -37,9 +38,9 @@ def normalized_mark(value: Column, scale: float, bound: float = 8.0) -> Column:
 
 def mark_scale(df: DataFrame, value: str) -> float:
     """Median of the absolute finite values other than zero; 1 if there are none."""
-    v = F.abs(F.col(value))
-    found = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (v > 0) & (v < float("inf"))).agg(F.percentile(v, F.lit(0.5))).first()[0]
-    return float(found) if found else 1.0
+    v = F.abs(F.col(value).cast("double"))
+    found = quantiles(df.select(v.alias("v")).where((F.col("v") > 0) & (F.col("v") < float("inf"))), "v", [0.5])[0]
+    return found or 1.0
 
 
 def decayed(df: DataFrame, entity: str, us: str, weights: dict[str, Column], taus: dict[str, float], block_us: int | None = None) -> DataFrame:
@@ -92,7 +93,8 @@ def scale_range(df: DataFrame, entity: str, us: str) -> DataFrame:
     batches = df.select(entity, us).distinct()
     gaps = batches.select(((F.col(us) - F.lag(us).over(Window.partitionBy(entity).orderBy(us))) / MICROS).alias("gap")).where("gap > 0")
     spans = batches.groupBy(entity).agg(((F.max(us) - F.min(us)) / MICROS).alias("span")).where("span > 0")
-    return gaps.agg(F.percentile("gap", F.lit(0.1)).alias("gap_low"), F.count(F.lit(1)).alias("n_gaps")).crossJoin(F.broadcast(spans.agg(F.percentile("span", F.lit(0.95)).alias("span_high"))))  # one row each
+    low, high = quantiles(gaps, "gap", [0.1])[0], quantiles(spans, "span", [0.95])[0]
+    return gaps.agg(F.lit(low).cast("double").alias("gap_low"), F.count(F.lit(1)).alias("n_gaps"), F.lit(high).cast("double").alias("span_high"))
 
 
 def time_scales(df: DataFrame, entity: str, us: str, cap: int = 8) -> list[float]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expressions import bin_right
 from tidemark.operators import metrics
 from tidemark.operators.prefix import prior_totals
+from tidemark.operators.quantile import quantiles
 
 #: Fixed values of the probability gate: least gains in rank and accuracy, paired z, and allowed loss in rank.
 RANK_GAIN, ACCURACY_GAIN, PAIRED_Z, RANK_LOSS = 0.003, 0.005, 2.0, 0.001
@@ -88,7 +89,7 @@ def monotone_trends(df: DataFrame, features: list[str], target: str, bins: int =
     the target's standard deviation.
     """
     at = [k / bins for k in range(1, bins)]
-    cuts = df.agg(*(F.percentile(c, F.array(*(F.lit(p) for p in at))).alias(c) for c in features)).first()
+    cuts = {c: [v for v in quantiles(df, c, at) if v is not None] for c in features}
     long = df.select(F.col(target).cast("double").alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), bin_right(F.col(c), sorted(set(cuts[c]))).alias("bin")) for c in features))).alias("x")).select("y", "x.*")
     means = long.groupBy("feature", "bin").agg(F.avg("y").alias("m"))
     steps = means.withColumn("d", F.col("m") - F.lag("m").over(Window.partitionBy("feature").orderBy("bin")))
@@ -192,9 +193,9 @@ def rare_grid(df: DataFrame, x: str, event: Column, most: int = 24, exact: int =
         return [(a + b) / 2 for a, b in zip(few, few[1:], strict=False)]
     pooled = [(k + 1) / 15 for k in range(14)]
     own = [(k + 1) / 8 for k in range(7)]
-    row = df.agg(F.percentile(x, F.array(*(F.lit(p) for p in pooled))).alias("a"), F.percentile(F.when(event, F.col(x)), F.array(*(F.lit(p) for p in own))).alias("b")).first()
+    proposed = quantiles(df, x, pooled) + quantiles(df.where(event), x, own)
     cuts: set[float] = set()
-    for q in sorted({*(row["a"] or []), *(row["b"] or [])}):
+    for q in sorted({v for v in proposed if v is not None}):
         around = values.agg(F.max(F.when(F.col("v") < q, F.col("v"))).alias("lo"), F.min(F.when(F.col("v") >= q, F.col("v"))).alias("at"), F.min(F.when(F.col("v") > q, F.col("v"))).alias("hi")).first()
         if around["lo"] is not None and around["at"] is not None:
             cuts.add((around["lo"] + around["at"]) / 2)

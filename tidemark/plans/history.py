@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import history as H
 from tidemark.operators.elo import elo_snapshots
+from tidemark.operators.quantile import at_ranks
 from tidemark.plans.registry import load, query
 
 DAY = 86_400_000_000
@@ -150,7 +151,8 @@ SELECT user_id, us, round(v, 6) AS v_d FROM all_before""")
 def frozen_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN12, WN13, JN13, ST11: later events continue from the state of earlier ones, which stays as it was fitted."""
     events = load(spark, sf_dir, "events").select("user_id", H.micros(F.col("ts")).alias("us"))
-    cut = events.agg(F.expr("percentile_disc(0.7) WITHIN GROUP (ORDER BY us)")).first()[0]
+    n = events.count()
+    cut = at_ranks(events, "us", [max(0, -(-7 * n // 10) - 1)])[1][0]
     taus, weights = {"d": 86_400.0}, {"v": F.lit(1.0)}
     state = H.final_state(events.where(F.col("us") <= cut), "user_id", "us", weights, taus)
     out = H.frozen(events.where(F.col("us") > cut), state, "user_id", "us", weights, taus)
