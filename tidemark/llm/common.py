@@ -92,6 +92,9 @@ def _uneven(text: str) -> bool:
     return _UNSAFE.search(text) is not None
 
 
+#: Pieces that are letters after one space at most, of scripts that every version of Unicode knows alike.
+_LETTERS = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
 _loaded: dict = {}
 
 
@@ -147,8 +150,17 @@ class PieceEncoder:
         # Pieces are learnt many to a string where a line end stays a token of its own between them.
         line, both = self._plain("\n"), self._plain(" a\nb\n c")
         self.line = line[0] if len(line) == 1 and both == self._plain(" a") + line + self._plain("b") + line + self._plain(" c") else None
+        self.words = self._word_tokenizer() if self.line is not None else None
         self._clear()
 
+    def _word_tokenizer(self):
+        """The same model cut at line ends only: for pieces that are one run of letters, and so one pre-token."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        made = Tokenizer(self.tokenizer.model)
+        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), pre_tokenizers.Split(self.tokenizer.id_to_token(self.line), "isolated")])
+        return made
+
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -191,9 +203,9 @@ class PieceEncoder:
         while self.used + ids > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
 
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, pieces: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' ids on end, and how many each has."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = [e.ids for e in (self.words if plain else self.tokenizer).encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum())), sizes
 
@@ -208,13 +220,18 @@ class PieceEncoder:
             return
         self._room(len(self.waiting), 0)
         texts = [(k, x) for k, x in enumerate(self.waiting, self.n) if type(x) is str]
-        easy = [x for x in texts if (y := x[1][x[1][:1] == " " :]).split() == [y] and "<|" not in y] if self.line is not None else []
-        if easy:
-            words = [x[1] for x in easy]
-            joined, _ = self._ids(["\n".join(words[i : i + 256]) + "\n" for i in range(0, len(words), 256)])
-            ends = np.flatnonzero(joined == self.line)
-            self._store(np.array([x[0] for x in easy]), joined[joined != self.line], np.diff(ends, prepend=-1) - 1)
-        done = {x[0] for x in easy}
+        done: set[int] = set()
+        if self.line is not None:
+            letters = [x for x in texts if _LETTERS.fullmatch(x[1])]
+            done.update(x[0] for x in letters)
+            others = [x for x in texts if x[0] not in done and (y := x[1][x[1][:1] == " " :]).split() == [y] and "<|" not in y]
+            done.update(x[0] for x in others)
+            for easy, plain in ((letters, True), (others, False)):
+                if easy:
+                    words = [x[1] for x in easy]
+                    joined, _ = self._ids(["\n".join(words[i : i + 256]) + "\n" for i in range(0, len(words), 256)], plain)
+                    ends = np.flatnonzero(joined == self.line)
+                    self._store(np.array([x[0] for x in easy]), joined[joined != self.line], np.diff(ends, prepend=-1) - 1)
         if hard := [x for x in texts if x[0] not in done]:
             self._store(np.array([x[0] for x in hard]), *self._ids([x[1] for x in hard]))
         composed = [(k, *x) for k, x in enumerate(self.waiting, self.n) if type(x) is tuple]

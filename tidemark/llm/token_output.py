@@ -45,7 +45,7 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     """Ids start to start + count of a payload; reads only the bytes that hold them."""
     if width == 16:
-        return np.frombuffer(payload, dtype=">u2", count=count, offset=2 * start).astype(np.uint32)
+        return np.frombuffer(payload, dtype=">u2", count=count, offset=2 * start).astype("<u4")
     out, weights = np.empty(count, dtype=np.uint32), (1 << np.arange(width - 1, -1, -1, dtype=np.uint32)).astype(np.uint32)
     for i in range(0, count, 1 << 16):
         n = min(1 << 16, count - i)
@@ -102,16 +102,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids = unpack(row["payload"], row["width"], 0, row["n_ids"]).astype("<u4")
-            ends = row["doc_ends"]
-            starts = [0, *ends[:-1]]
-            yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([row["shard"]] * len(ends), pa.int32()),
-                "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                "in_shard": pa.array([row["block_start"] + s for s in starts], pa.int64()),
-                "n_tokens": pa.array([e - s for s, e in zip(starts, ends, strict=True)], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(ids[s:e]) for s, e in zip(starts, ends, strict=True)], pa.int64()),
-            })
+            ids = unpack(row["payload"], row["width"], 0, row["n_ids"]).astype("<u4", copy=False)
+            ends = np.array(row["doc_ends"], dtype=np.int64)
+            starts = np.concatenate([[0], ends[:-1]])
+            sums = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            columns = [pa.array(np.full(len(ends), row["shard"], dtype=np.int32)), pa.array(row["doc_ids"], pa.int64()), pa.array(row["block_start"] + starts), pa.array(ends - starts), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "in_shard", "n_tokens", "ids_crc32"])
 
 
 def read_index(docs: DataFrame, path: str) -> DataFrame:
