@@ -89,7 +89,10 @@ def featurize(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.nd
 
 
 def telling(flat: np.ndarray, row: np.ndarray, labels: np.ndarray, most: int = 4096, least: int = 5, evidence: float = 14.0) -> np.ndarray:
-    """The features whose presence goes with the label: likelihood ratio statistic over `evidence`, the `most` strongest; all bins."""
+    """The words whose presence raises the label's odds: likelihood ratio statistic over `evidence`, the `most` strongest; all bins.
+
+    Words that lower them are left out: a long document has many, which would outweigh what is wrong with it.
+    """
     size = (1 << BITS) + N_BINS
     n, bad = max(1, len(labels)), max(1e-9, float(labels.sum()))
     df = np.bincount(flat, minlength=size).astype(np.float64)
@@ -97,7 +100,7 @@ def telling(flat: np.ndarray, row: np.ndarray, labels: np.ndarray, most: int = 4
     score = np.zeros(size)
     for seen, expected in ((hit, df * bad / n), (df - hit, df * (n - bad) / n), (bad - hit, (n - df) * bad / n), (n - bad - (df - hit), (n - df) * (n - bad) / n)):
         score += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    score[df < least] = 0
+    score[(df < least) | (hit * n <= df * bad)] = 0
     score[score < evidence] = 0
     chosen = np.argsort(-score, kind="stable")[:most]
     out = np.zeros(size, dtype=bool)
