@@ -367,3 +367,73 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(kept, T.StructType(documents.schema.fields))
     want = {r["doc_id"]: hashlib.sha256(",".join(map(str, tokenizer(BYTE).encode(r["text"], add_special_tokens=False).ids)).encode()).hexdigest() for r in docs.collect()}
     assert {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, path).collect()} == want
+
+
+def five(t):
+    """A text's five-word shingles."""
+    w = (t or "").translate(LOW).encode().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_groups(texts):
+    """The number of each text's group, by all pairs of five-word Jaccard 0.8 or more."""
+    sets = [five(t) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        x, y = sets[i], sets[j]
+        if x == y or 10 * len(x & y) >= 8 * len(x | y):
+            old, new = sorted((root[i], root[j]), reverse=True)
+            if old != new:
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def near_texts(seed):
+    """Texts of every length with near copies at both sides of the limit, a crowd of near copies, and a line that most have."""
+    rng = random.Random(seed)
+    line = " ".join(f"common{i}" for i in range(12))
+    out = []
+    for n in [6, 9, 20, 40, 80, 200, 600] * 4:
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        out.append(" ".join(base) + " " + line)
+        for _ in range(4):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, n // 25))):
+                words[rng.randrange(n)] = f"new{rng.randrange(3000)}"
+            out.append(" ".join(words) + (" " + line if rng.random() < 0.9 else ""))
+    base = [f"v{i}" for i in range(150)]
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(150)] = f"x{rng.randrange(9)}"
+        out.append(" ".join(words))
+    out += ["a b", "A  b", "a b c", "a b c d e", "a b c d e", None, "", " \n"]
+    rng.shuffle(out)
+    return out
+
+
+def test_near_dedup_finds_all_pairs(spark):
+    import corpus_pipeline
+
+    texts = near_texts(3)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], DOCS).repartition(5)
+    want = sorted(set(near_groups(texts)))
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == want
+    assert 60 < len(want) < len(texts) - 60
+    assert corpus_pipeline.keep_one_of_each_group(spark, docs.limit(0), "").count() == 0
+
+
+def test_prefixes_meet():
+    from tidemark.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    frequent = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64))
+    place = rng.permutation(len(frequent))
+    for n in [*range(1, 40), 77, 300]:
+        pool = np.unique(np.concatenate([rng.choice(frequent, n // 2 + 1), rng.integers(0, 1 << 63, n).astype(np.uint64)]))
+        for _ in range(20):
+            x, y = (np.sort(rng.choice(pool, max(1, len(pool) - int(rng.integers(0, n // 8 + 1))), replace=False)) for _ in range(2))
+            if 10 * len(np.intersect1d(x, y)) >= 8 * len(np.union1d(x, y)):
+                assert len(np.intersect1d(near_copies.prefix(x, frequent, place), near_copies.prefix(y, frequent, place)))
