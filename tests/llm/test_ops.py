@@ -437,3 +437,16 @@ def test_prefixes_meet():
             x, y = (np.sort(rng.choice(pool, max(1, len(pool) - int(rng.integers(0, n // 8 + 1))), replace=False)) for _ in range(2))
             if 10 * len(np.intersect1d(x, y)) >= 8 * len(np.union1d(x, y)):
                 assert len(np.intersect1d(near_copies.prefix(x, frequent, place), near_copies.prefix(y, frequent, place)))
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdef"]
+    near = long[0].replace("a59", "z")
+    rows = [(5, long[0]), (5, long[0]), (5, near), (None, long[0]), (2, long[1]), (7, long[1]), (7, long[2]), (None, long[3]), (None, long[3]), (9, long[4]), (9, long[5]), (None, None), (3, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], DOCS).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
+    first = next(x for x in got if x[0] == 5)
+    assert first[1] in (long[0], near)
+    assert sorted(got, key=repr) == sorted([first, (2, long[1]), (7, long[2]), (None, long[3]), (9, long[4]), (9, long[5]), (3, "")], key=repr)
