@@ -450,3 +450,14 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     first = next(x for x in got if x[0] == 5)
     assert first[1] in (long[0], near)
     assert sorted(got, key=repr) == sorted([first, (2, long[1]), (7, long[2]), (None, long[3]), (9, long[4]), (9, long[5]), (3, "")], key=repr)
+
+
+def test_crf_scores_do_not_depend_on_order():
+    crf = pii.Crf()
+    with_at, without = "a." * 13 + "b@host", "a." * 13 + "b"
+    assert pii.shape(with_at) == pii.shape(without)
+    for words in ((with_at, without), (without, with_at)):
+        crf.memo.clear()
+        for w in words:
+            want = crf.emit[[crf.index.get(f, len(crf.index)) for f in pii.features(w, "", "")]].sum(axis=0)
+            assert np.array_equal(crf.scores(w, "", ""), want)

@@ -165,7 +165,7 @@ class Crf:
         self.emit, self.step = np.zeros((n + 1, k)), np.zeros((k, k))
         self.ok = _allowed()
         self.start_ok = np.array([s[0] != "I" for s in STATES])
-        self.memo: dict[tuple[str, str, str], np.ndarray] = {}
+        self.memo: dict[tuple, np.ndarray] = {}
         grads = [np.zeros_like(self.emit), np.zeros_like(self.step)]
         squares = [np.full_like(self.emit, 1e-6), np.full_like(self.step, 1e-6)]
         for _ in range(rounds):  # full-batch adaptive gradient ascent of the penalised likelihood
@@ -220,8 +220,8 @@ class Crf:
                 step[ys[t - 1], ys[t]] += 1
 
     def scores(self, word: str, before: str, after: str) -> np.ndarray:
-        """Emission scores; words of equal shape among equal shapes share them. Unknown features weigh nothing."""
-        key = (shape(word) + word[0] + "!" * bool(re.search(r"[^0-9A-Za-z@.+()/:-]", word)) + "#" * is_card_number(word), before, after)
+        """Emission scores; words with the same features share them. Unknown features weigh nothing."""
+        key = (shape(word), "@" in word, word[0] == "+", bool(re.search(r"[^0-9A-Za-z@.+()/:-]", word)), is_card_number(word), before, after)
         if (found := self.memo.get(key)) is None:
             if len(self.memo) > 50_000:
                 self.memo.clear()
