@@ -63,7 +63,7 @@ def pair_newton_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 1 AS rank, 'b0=1 b2=1' AS program")
 def program_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML29-ML31, ML42-ML44, SL6: the conjunction that shortens a planted target's code most."""
+    """ML43: the conjunction of bits that shortens a planted target's code most: a beam over plain ANDs, no other program."""
     e = load(spark, sf_dir, "events")
     flag = lambda c: c.cast("int")
     bits = e.select(flag(F.col("value") > 30).alias("b0"), flag(F.col("user_id") % 2).alias("b1"), flag(F.col("event_type") == "view").alias("b2"), flag(F.col("event_id") % 3 == 0).alias("b3"))
