@@ -140,3 +140,14 @@ def test_sources_round_trip(spark, tmp_path):
     assert readers.read_rows(spark, str(tmp_path / "p"), "k", 2, 9).count() == 1
     readers.write_report(df, str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).count() == 2
+
+
+def test_induced_rules_mine_all_relations(spark, monkeypatch):
+    from tidemark.operators import graph
+    from tidemark.plans import QUERIES
+
+    seen = set()
+    mine = graph.induced_rules
+    monkeypatch.setattr(graph, "induced_rules", lambda known, target: seen.update(r["rel"] for r in known.select("rel").distinct().collect()) or mine(known, target))
+    QUERIES["induced_rules"](spark, "/root/testdata/sf0.001")
+    assert {"placed", "supplied_by", "placed_inv", "supplied_by_inv"} <= seen
