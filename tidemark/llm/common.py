@@ -13,10 +13,13 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Distinct pieces that one Python worker remembers before it forgets those used once; some 200 bytes each.
 CACHE_PIECES = 250_000
+#: Longer pieces are encoded each time and never remembered; remembered ones have so many ids each on average at most.
+LONG_PIECE, IDS_A_PIECE = 64, 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,6 +80,44 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, out=steps)
 
 
+#: Characters that every version of Unicode puts in one class, as regular expressions' brackets hold them.
+#: Lower-casing and normal form C leave letters what they are, one for one, and join none of them to what stands before.
+SPACES = "\t-\r \xa0\u2000-\u200a\u3000"
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+DIGITS = "0-9"
+MARKS_BUT_APOSTROPHE = "!-&(-/:-@\\[-`{-~\u3001\u3002\u3008-\u3011\uff01-\uff0f\uff1a-\uff20"
+MARKS = MARKS_BUT_APOSTROPHE + "'"
+
+#: Where a pre-token ends whatever else the text holds: a run of letters, digits or marks ends where the class changes. An
+#: apostrophe before a letter is left out, as a contraction may begin there.
+CLASS_CHANGE = f"(?<=[{LETTERS}])(?=[{MARKS}{DIGITS}])|(?<=[{DIGITS}])(?=[{LETTERS}{MARKS}])|(?<=[{MARKS_BUT_APOSTROPHE}])(?=[{LETTERS}{DIGITS}])|(?<=')(?=[{DIGITS}])"
+#: Runs of one class, which are one pre-token but for a contraction at their start.
+RUN = f"[{LETTERS}]{{6,}}|[{MARKS}]{{6,}}"
+#: Characters at a run's start that may be a contraction's.
+CONTRACTION = 4
+
+
+def quoted(name: str) -> str:
+    """A column's name as expressions and schema strings take it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, by names that may hold dots or backticks."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each changed as little as makes it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 _UNSAFE = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= (?!\n)|\n)")
 #: White space that is neither a space nor a line end, as ASCII has it.
@@ -115,13 +156,16 @@ class _Numbers(dict):
     """Numbers pieces as they come. A key is a piece without its leading space, or with its leading line end.
 
     New pieces wait to be learnt. One that is a line end and a word, or a word and closing marks, is made of the numbers of
-    its parts instead: a pre-token ends between them.
+    its parts instead: a pre-token ends between them. A long one is not numbered but passes, as -1 and down.
     """
 
-    def __init__(self, lead: str, waiting: list):
-        self.lead, self.waiting, self.start, self.bare = lead, waiting, 0, self
+    def __init__(self, lead: str, waiting: list, passing: list):
+        self.lead, self.waiting, self.passing, self.start, self.bare = lead, waiting, passing, 0, self
 
     def __missing__(self, key: str) -> int:
+        if len(key) > LONG_PIECE:
+            self.passing.append(key if key[0] == "\n" else self.lead + key)
+            return -len(self.passing)
         item: str | tuple[int, int] = self.lead + key
         if key[:1] == "\n":
             item = key
@@ -166,7 +210,8 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self.waiting: list[str | tuple[int, int]] = []
-        self.spaced, self.bare = _Numbers(" ", self.waiting), _Numbers("", self.waiting)
+        self.passing: list[str] = []
+        self.spaced, self.bare = _Numbers(" ", self.waiting, self.passing), _Numbers("", self.waiting, self.passing)
         self.spaced.bare = self.bare
         self.starts = np.zeros(1024, dtype=np.int64)
         self.lengths = np.zeros(1024, dtype=np.int64)
@@ -175,13 +220,13 @@ class PieceEncoder:
         self.n = self.used = 0
 
     def _forget(self) -> None:
-        """Keeps only the pieces that more than one batch has used since the last time."""
+        """Keeps only the pieces that more than one batch has used since the last time; none, if those are too many."""
         old = self.starts, self.lengths, self.flat
         again = np.flatnonzero(self.uses[: self.n] > 1)
         new_number = np.full(self.n, -1, dtype=np.int64)
         new_number[again] = np.arange(len(again))
         known = self.spaced, self.bare
-        few = len(again) <= self.cache_pieces // 2
+        few = len(again) <= self.cache_pieces // 2 and int(old[1][again].sum()) <= IDS_A_PIECE * self.cache_pieces // 2
         self._clear()
         if not few:
             return
@@ -251,6 +296,17 @@ class PieceEncoder:
         self.waiting.clear()
         self.spaced.start = self.bare.start = self.n
 
+    def _pass(self) -> None:
+        """Ids of the pieces that pass, behind the known ones: the next batch writes over them."""
+        if not self.passing:
+            return
+        ids, sizes = self._ids(self.passing)
+        many = len(self.passing)
+        self._room(many, len(ids))
+        self.starts[self.n : self.n + many], self.lengths[self.n : self.n + many] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.passing.clear()
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and each text's number of ids.
 
@@ -265,8 +321,10 @@ class PieceEncoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if self.n > self.cache_pieces:
+        if self.n > self.cache_pieces or self.used > IDS_A_PIECE * self.cache_pieces:
             self._forget()
+        if len(self.flat) > 8 * max(self.used, 1 << 20):  # room that pieces in passing took
+            self.flat = self.flat[: 2 * max(self.used, 4096)].copy()
         heads: list[str] = []
         rest: list[str] = []
         counts = np.zeros(len(texts), dtype=np.int64)
@@ -285,9 +343,14 @@ class PieceEncoder:
         if not heads:
             return np.zeros(0, dtype=np.uint32), counts
         a, b = (np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces)) for known, pieces in ((self.bare, heads), (self.spaced, rest)))
+        many = len(self.passing)
         self._learn()
-        for used in (a, b):  # counts batches, not occurrences
-            self.uses[used] += 1
+        self._pass()
+        for used in (a, b):
+            if many:
+                used[used < 0] = self.n - 1 - used[used < 0]
+            self.uses[used] += 1  # counts batches, not occurrences
+        self.uses[self.n : self.n + many] = 0
         numbers = np.empty(len(a) + len(b), dtype=np.int64)
         full = counts[counts > 0]
         at_head = np.cumsum(full) - full
