@@ -1,5 +1,6 @@
 """The corpus operators against plain versions, and their defined results on odd input."""
 
+import base64
 import hashlib
 import itertools
 import random
@@ -177,6 +178,55 @@ def test_token_counts(docs, rows):
         assert collected(token_count.token_counts(docs, WORD, chunk=chunk, overlap=overlap)) == sorted(want, key=repr)
 
 
+def unspaced():
+    """Long texts without plain spaces, by name, and one with them."""
+    rng = random.Random(21)
+    han = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(900)]
+    letters = "".join(rng.choice("abcdefghij") for _ in range(240_000))
+    return {
+        "han": "".join(rng.choice(han) if rng.random() > 0.05 else "。" for _ in range(120_000)),
+        "han, no marks": "".join(rng.choice(han) for _ in range(120_000)),
+        "base64": base64.b64encode(rng.randbytes(180_000)).decode(),
+        "lines": "\n".join(letters[i : i + 1 + i % 9] for i in range(0, 240_000, 7)),
+        "numbers": "\n".join(str(rng.randrange(10 ** rng.randint(1, 6))) for _ in range(50_000)),
+        "one mark": "=" * 240_000,
+        "thai": "".join(chr(rng.randrange(0xE01, 0xE4E)) for _ in range(80_000)),
+        "special": "<|endoftext|>" * 20_000 + "<|startoftext|>" * 4000,
+        "contractions": "'stop'll" * 30_000,
+    }
+
+
+@pytest.mark.parametrize("name", unspaced())
+def test_long_texts_without_spaces(name):
+    """Right results, and no more than a few times the text's length goes to the library."""
+    t = unspaced()[name]
+    made = tokenizer(WORD)
+    counter = token_count.Counter(made)
+    sent = []
+    parts = counter._parts
+    counter._parts = lambda text, spans: sent.extend(e - s for s, e in spans) or parts(text, spans)
+    assert counter.count(t) == len(made.encode(t, add_special_tokens=False).ids)
+    assert sum(sent) < 5 * len(t)
+    encoder = bpe.TreeEncoder(BYTE)
+    again, plain = [], encoder._plain
+    encoder._plain = lambda text: again.append(len(text)) or plain(text)
+    want = tokenizer(BYTE).encode(t, add_special_tokens=False).ids
+    assert encoder.encode([t])[0].tolist() == want
+    assert sum(again) < 3 * len(t)
+    ids, counts = PieceEncoder(BYTE).encode([t, t[:1000]])
+    assert ids[: counts[0]].tolist() == want
+
+
+def test_pieces_in_cache_are_short():
+    encoder = PieceEncoder(BYTE, 1000)
+    rng = random.Random(22)
+    for _ in range(20):
+        texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(5000)) + " and more\n" + "x" * 70 for _ in range(5)]
+        ids, counts = encoder.encode(texts)
+        assert counts.tolist() == [len(tokenizer(BYTE).encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sum(map(len, [*encoder.spaced, *encoder.bare])) < 200 and encoder.used < 100
+
+
 def plain_print(t, k=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
     s = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else ([" ".join(w)] if w else [])

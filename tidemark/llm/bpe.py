@@ -1,18 +1,23 @@
 """Operator 10: BPE encoding and decoding; long texts by tree concatenation.
 
-A text over leaf_chars is halved until its leaves are short. All leaves are encoded; then halves are joined from the
-bottom up. A join re-encodes a window of tokens around it, growing until the window's ids agree with the left half's at
-its start and with the right half's at its end, up to and including a place on each side where an encoding cannot
-depend on what lies beyond:
-- white space after a non-space character (a pre-token and a special token both end there), or
-- a token boundary inside a run of letters that reaches past the window: the run is one pre-token, and there a BPE
-  encoding is valid exactly if each two neighbouring tokens are, which agreement on one token shows for the seam.
-If the window has grown to both halves, its encoding is the answer itself. So the ids are the library's, always.
+A text over leaf_chars is halved until its leaves are short (no cut is inside a special token). All leaves are encoded;
+then halves are joined from the bottom up. A join re-encodes a window of tokens around it, growing until the window's
+ids agree with the left half's at its start and with the right half's at its end, up to and including a place on each
+side where an encoding cannot depend on what lies beyond:
+- white space after another character, a special token's end, or the end of a run of letters, digits or marks: a pre-token
+  ends there; or
+- a token inside a run of letters or of marks that goes on past it on both sides: the run is one pre-token, and there a
+  BPE encoding is valid exactly if each two neighbouring tokens are, which agreement on one token shows for the seam.
+Where a window over a quarter of the halves has not settled a join, the join stays open and the halves lie side by side;
+a text with open joins at the root is encoded whole, the largest window there is. So the ids are the library's, always,
+and the work is in proportion to the text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import piece_encoder, slices
+from .common import CLASS_CHANGE, CONTRACTION, RUN, SPACES, piece_encoder, slices
 
 LEAF_CHARS = 8192
 WINDOW_TOKENS = 12
 SLICE_BYTES = 2 << 20
 
+_STABLE = re.compile(f"(?<=[^\\s\\u180e])(?=[{SPACES}])|{CLASS_CHANGE}")
+_RUN = re.compile(RUN)
+
 
 def token_bytes(tokenizer) -> list[bytes]:
     """Each id's bytes, of a byte-level tokenizer; an added token stands for its own text."""
@@ -39,6 +47,32 @@ def token_bytes(tokenizer) -> list[bytes]:
     return out
 
 
+class _Places:
+    """Where a window's ids are settled, whatever lies beyond the window."""
+
+    def __init__(self, text: str, special: re.Pattern | None):
+        size = len(text)
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        upto = np.concatenate([[0], np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))])
+        self.upto = upto  # bytes before each character
+        self.stable = np.zeros(size + 1, dtype=bool)
+        self.stable[[m.start() for m in _STABLE.finditer(text)]] = True
+        if special:
+            self.stable[[p for m in special.finditer(text) for p in m.span()]] = True
+        self.low, self.high = np.full(size + 1, size + 1), np.full(size + 1, -1)  # of each character's run, without its start's and end's margins
+        for m in _RUN.finditer(text):
+            self.low[m.start() : m.end()], self.high[m.start() : m.end()] = m.start() + CONTRACTION, m.end() - 1
+
+    def settled(self, ends: np.ndarray, starts: np.ndarray, left: bool) -> bool:
+        """Whether one of the tokens (byte offsets) ends (left) or starts (right) at a stable place, or lies inside a run."""
+        edge = ends if left else starts
+        at = np.searchsorted(self.upto, edge)
+        if (self.stable[at] & (self.upto[at] == edge)).any():
+            return True
+        first, last = np.searchsorted(self.upto, starts, "right") - 1, np.searchsorted(self.upto, ends)
+        return bool(((self.low[first] <= first) & (last <= self.high[first])).any())
+
+
 class TreeEncoder:
     """Encodes and decodes with a byte-level BPE file of the tokenizers library."""
 
@@ -46,18 +80,32 @@ class TreeEncoder:
         self.pieces, self.leaf_chars, self.window = piece_encoder(path), leaf_chars, window
         self.bytes = token_bytes(self.pieces.tokenizer)
         self.sizes = np.array([len(x) for x in self.bytes], dtype=np.int64)
+        special = [x.content for x in self.pieces.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.joins = self.grown = 0
 
-    def _cuts(self, low: int, high: int) -> list[int]:
-        """Ends of the leaves of text[low:high]."""
-        if high - low <= self.leaf_chars:
-            return [high]
-        middle = (low + high) // 2
-        return self._cuts(low, middle) + self._cuts(middle, high)
+    def _cuts(self, text: str) -> list[int]:
+        """Ends of the leaves of text."""
+        if len(text) <= self.leaf_chars:
+            return [len(text)]
+        whole = [m.span() for m in self.special.finditer(text)] if self.special else []
+        out: list[int] = []
+        open_ = [(0, len(text))]
+        while open_:
+            low, high = open_.pop()
+            middle = (low + high) // 2
+            k = bisect_left(whole, (middle, 0)) - 1
+            if k >= 0 and middle < whole[k][1]:
+                middle = whole[k][0]
+            if high - low <= self.leaf_chars or middle <= low:
+                out.append(high)
+            else:
+                open_ += [(middle, high), (low, middle)]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         leaves: list[str] = []
-        cuts = [self._cuts(0, len(x or "")) for x in texts]
+        cuts = [self._cuts(x or "") for x in texts]
         for text, ends in zip(texts, cuts, strict=True):
             at = 0
             for end in ends:
@@ -67,22 +115,27 @@ class TreeEncoder:
         parts = np.split(ids, np.cumsum(counts)[:-1]) if leaves else []
         out, at = [], 0
         for text, ends in zip(texts, cuts, strict=True):
-            level = list(zip(leaves[at : at + len(ends)], parts[at : at + len(ends)], strict=True))
+            level = [[part] for part in zip(leaves[at : at + len(ends)], parts[at : at + len(ends)], strict=True)]
             at += len(ends)
             while len(level) > 1:
-                level = [level[i] if i + 1 == len(level) else self._join(*level[i], *level[i + 1]) for i in range(0, len(level), 2)]
-            out.append(level[0][1])
+                level = [level[i] if i + 1 == len(level) else self._join(level[i], level[i + 1]) for i in range(0, len(level), 2)]
+            out.append(level[0][0][1] if len(level[0]) == 1 else self._plain(text or ""))
         return out
 
-    def _join(self, a: str, left: np.ndarray, b: str, right: np.ndarray) -> tuple[str, np.ndarray]:
+    def _join(self, left: list[tuple[str, np.ndarray]], right: list[tuple[str, np.ndarray]]) -> list[tuple[str, np.ndarray]]:
+        """Two lists of parts as one; where they meet, two parts become one if a window of a quarter of them at most shows how."""
         self.joins += 1
-        text, size = a + b, self.window
-        while size < max(len(left), len(right)):
-            if (found := self._window(a, left, b, right, size)) is not None:
-                return text, found
+        (a, a_ids), (b, b_ids), size = left[-1], right[0], self.window
+        while size == self.window or 4 * size <= max(len(a_ids), len(b_ids)):
+            if (found := self._window(a, a_ids, b, b_ids, size)) is not None:
+                return [*left[:-1], (a + b, found), *right[1:]]
             size *= 2
             self.grown += 1
-        return text, self.pieces.encode([text])[0]
+        return left + right
+
+    def _plain(self, text: str) -> np.ndarray:
+        """The library's ids; nothing of the text is remembered."""
+        return np.asarray(self.pieces.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
     def _window(self, a: str, left: np.ndarray, b: str, right: np.ndarray, size: int) -> np.ndarray | None:
         """The joined ids, if a window of about size tokens on each side shows them."""
@@ -101,7 +154,8 @@ class TreeEncoder:
             return None
         if not a.endswith(before) or not b.startswith(after):
             return None
-        window = np.asarray(self.pieces.tokenizer.encode(before + after, add_special_tokens=False).ids, dtype=np.uint32)
+        text = before + after
+        window = self._plain(text)
         l_ids, r_ids = left[l_at:], right[:r_to]
         n = min(len(window), len(l_ids))
         same = window[:n] == l_ids[:n]
@@ -109,27 +163,14 @@ class TreeEncoder:
         n = min(len(window), len(r_ids))
         same = window[len(window) - n :] == r_ids[len(r_ids) - n :]
         n_right = n if same.all() else int(np.argmin(same[::-1]))
-        if n_left + n_right > len(window) or not n_left or not n_right:
-            n_left = min(n_left, max(0, len(window) - n_right))
-        text = before + after
-        l_bytes, r_bytes = np.cumsum(self.sizes[l_ids[:n_left]]), np.cumsum(self.sizes[r_ids[len(r_ids) - n_right :][::-1]])
-        done = l_at == 0 or self._fixed(text.encode(), l_bytes) or (n_left > 0 and self._inside(a[: len(a) - len(before)], text, True))
-        ends = r_to == len(right) or self._fixed(text.encode(), len(text.encode()) - r_bytes) or (n_right > 0 and self._inside(b[len(after) :], text, False))
-        return np.concatenate([left[:l_at], window, right[r_to:]]) if done and ends else None
-
-    @staticmethod
-    def _fixed(raw: bytes, places: np.ndarray) -> bool:
-        """Whether white space follows a non-space character (plain ASCII ones, seen from bytes) at one of the byte offsets."""
-        for p in places.tolist():
-            if 0 < p < len(raw) and raw[p] == 0x20 and 0x21 <= raw[p - 1] <= 0x7E:
-                return True
-        return False
-
-    @staticmethod
-    def _inside(beyond: str, window: str, before: bool) -> bool:
-        """Whether the window is letters only and so is its surrounding, far enough that no contraction ends there."""
-        near = beyond[-3:] if before else beyond[:1]
-        return len(near) == (3 if before else 1) and near.isalpha() and window.isalpha()
+        if not (n_left or l_at == 0) or not (n_right or r_to == len(right)):
+            return None
+        ends = np.cumsum(self.sizes[window])
+        places = _Places(text, self.special)
+        done = l_at == 0 or places.settled(ends[:n_left], ends[:n_left] - self.sizes[window[:n_left]], True)
+        at = len(window) - n_right
+        done = done and (r_to == len(right) or places.settled(ends[at:], ends[at:] - self.sizes[window[at:]], False))
+        return np.concatenate([left[:l_at], window, right[r_to:]]) if done else None
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD as the library has it."""
