@@ -73,7 +73,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # The model. Words are runs of non-space characters without brackets, quotes and closing marks around them.
-_WORD = re.compile(r"\S*[0-9@+]\S*")
+_WORD = re.compile(r"(?<!\S)[^\s0-9@+]*+[0-9@+]\S*")  # tried once a word, so long ones cost no retries
+_SYMBOL = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
+_ODD = re.compile(r"[^0-9A-Za-z@.+()/:-]")
+SHAPE = 24
+#: Cells of words that one step of decoding holds at most, words from which a chain is decoded in segments, and those in each.
+CELLS, LONG_CHAIN, SEGMENT = 1 << 16, 2048, 512
 _OUTER = "\"'<>[]{},;:!?|*#$&=."
 STATES = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: The labelled table: text, with spans as [kind text]. Kept small and readable; the model is trained from it.
@@ -83,6 +88,7 @@ LABELLED = (
     "card [card 4111 1111 1111 1111] exp 12/26", "visa [card 5500-0000-0000-0004] valid", "pay [card 4012 8888 8888 1881] total", "amex [card 3782 822463 10005] paid 20",
     "at [phone +1 (269) 555-0196] [card 4111111111111111] and", "by [phone +1 (017) 555-0113] [card 5500000000000004] now", "[card 4012888888881881] [phone +1 (578) 555-0137] x", "see [card 378282246310005] paid",
     "to [email a.b@mail7.example.com] [phone +1 (212) 555-0187] or", "[ip 10.0.0.1] [card 6011111111111117] in", "[phone +1 (314) 555-0132] [ip 172.16.4.9] [email x@y.example.com]", "of [phone +1 (487) 555-0109] 4736962973099582 ble", "was 9807915762804491 raie",
+    "tel [phone 06 39 98 12 34] svp", "au [phone 02 61 91 45 67] demain", "unter [phone 040 669412] oder", "Telefon [phone 089 555 0123] abends", "the years 1990 1991 and 1992", "in 2008 2009 2010 or 2012 they", "lines 10 20 30 40 and 50",
     "host [ip 10.0.0.1:8080] up", "server [ip 192.168.1.20/24] net", "from [ip 172.16.4.9:22] to", "peer [ip 10.1.2.3/16] ok", "ping [ip 8.8.8.8] done",
     "mail [email ann@mailhost] now", "write [email bob.lee@intranet] soon", "to [email j.doe@localhost] and", "at [email x99@mail7.example.com] by", "ask [email info@server2] first",
     "in 1999 there were 35 of 1200", "on 2024-05-06 at 10:30 we", "version 3.2.1 of 2020 has 1.5 percent", "costs 1,200.50 in 2019", "page 12 of 340 from 1987-1993", "the 3rd of 10 and 4th",
@@ -92,16 +98,25 @@ LABELLED = (
 
 
 def shape(word: str) -> str:
-    """The word with letters as a, digits as 0 and runs shortened to one, two or many (counts 1-2, 3, 4, more for digits)."""
+    """The word with letters as a, digits as 0 and runs shortened to one, two or many (counts 1-2, 3, 4, more for digits).
+
+    A feature, as the end of it is: it tells of a word's first SHAPE symbols only, and the model knows no others.
+    """
     out = []
-    for run in re.finditer(r"[0-9]+|[^\W\d_]+|.", word, re.S):
+    for run in _SYMBOL.finditer(word):
+        if len(out) == SHAPE:
+            break
         x = run[0]
         if "0" <= x[0] <= "9":
             n = len(x)
             out.append("0" * min(n, 5) if n < 8 else "L" if n < 12 else "N" if n < 20 else "X")
         else:
             out.append("a" if x[0].isalpha() else x)
-    return "".join(out)[:24]
+    return "".join(out)[:SHAPE]
+
+
+def _odd(word: str) -> bool:
+    return _ODD.search(word) is not None
 
 
 def is_card_number(word: str) -> bool:
@@ -115,7 +130,7 @@ def features(word: str, before: str, after: str) -> list[str]:
     parts = re.findall(r"0+|L|N|X", s)
     return [
         "s=" + s, "b=" + before + ">" + s, "a=" + s + ">" + after, "at" if "@" in word else "no-at", "plus" if word[0] == "+" else "no-plus",
-        f"dots={min(s.count('.'), 4)}", f"dashes={min(s.count('-'), 3)}", f"groups={min(len(parts), 5)}", "letters" if "a" in s else "digits", "odd" if re.search(r"[^0-9A-Za-z@.+()/:-]", word) else "even", "end=" + s[-4:],
+        f"dots={min(s.count('.'), 4)}", f"dashes={min(s.count('-'), 3)}", f"groups={min(len(parts), 5)}", "letters" if "a" in s else "digits", "odd" if _odd(word) else "even", "end=" + s[-4:],
         "luhn" if is_card_number(word) else "no-luhn",
     ]
 
@@ -165,7 +180,8 @@ class Crf:
         self.emit, self.step = np.zeros((n + 1, k)), np.zeros((k, k))
         self.ok = _allowed()
         self.start_ok = np.array([s[0] != "I" for s in STATES])
-        self.memo: dict[tuple, np.ndarray] = {}
+        self.memo: dict[tuple, int] = {}
+        self.known = np.zeros((1024, k))
         grads = [np.zeros_like(self.emit), np.zeros_like(self.step)]
         squares = [np.full_like(self.emit, 1e-6), np.full_like(self.step, 1e-6)]
         for _ in range(rounds):  # full-batch adaptive gradient ascent of the penalised likelihood
@@ -219,58 +235,115 @@ class Crf:
                 step -= np.exp(f[t - 1][:, None] + moves + (scores[t] + b[t])[None, :] - z)
                 step[ys[t - 1], ys[t]] += 1
 
-    def scores(self, word: str, before: str, after: str) -> np.ndarray:
-        """Emission scores; words with the same features share them. Unknown features weigh nothing."""
-        key = (shape(word), "@" in word, word[0] == "+", bool(re.search(r"[^0-9A-Za-z@.+()/:-]", word)), is_card_number(word), before, after)
+    def number(self, word: str, own: str, before: str, after: str) -> int:
+        """The row of `known` with the emission scores of a word (own: its shape); words with the same features share it. Unknown features weigh nothing."""
+        key = (own, "@" in word, word[0] == "+", _odd(word), is_card_number(word), before, after)
         if (found := self.memo.get(key)) is None:
-            if len(self.memo) > 50_000:
-                self.memo.clear()
-            found = self.memo[key] = self.emit[[self.index.get(f, len(self.index)) for f in features(word, before, after)]].sum(axis=0)
+            found = self.memo[key] = len(self.memo)
+            if found == len(self.known):
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            self.known[found] = self.emit[[self.index.get(f, len(self.index)) for f in features(word, before, after)]].sum(axis=0)
         return found
 
-    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
-        """Viterbi paths of many chains (length x states each), in batches of like lengths."""
-        out: list = [None] * len(scores)
-        moves = np.where(self.ok, self.step, -1e9)
-        order = sorted(range(len(scores)), key=lambda k: len(scores[k]))
-        for i in range(0, len(order), 1024):
-            part = order[i : i + 1024]
-            sizes = np.array([len(scores[k]) for k in part])
-            longest = int(sizes.max())
-            grid = np.zeros((len(part), longest, len(STATES)))
+    def forget(self) -> None:
+        """Between batches: the rows of `known` go when they are many."""
+        if len(self.memo) > 50_000:
+            self.memo.clear()
+            self.known = self.known[:1024].copy()
+
+    def decode(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
+        """Viterbi paths of many chains (each one's rows of `known`), in batches of like lengths and bounded size."""
+        out: list = [None] * len(numbers)
+        order = sorted(range(len(numbers)), key=lambda k: len(numbers[k]))
+        while order and len(numbers[order[-1]]) > LONG_CHAIN:
+            k = order.pop()
+            out[k] = self._long(numbers[k])
+        at = 0
+        while at < len(order):
+            upto = at + 1
+            while upto < len(order) and (upto + 1 - at) * len(numbers[order[upto]]) <= CELLS:
+                upto += 1
+            part = order[at:upto]
+            sizes = np.array([len(numbers[k]) for k in part])
+            grid = np.zeros((len(part), int(sizes.max())), dtype=np.int64)
             for row, k in enumerate(part):
-                grid[row, : sizes[row]] = scores[k]
-            best = np.where(self.start_ok, grid[:, 0], -1e9)
-            final, back = best.copy(), np.zeros((len(part), longest, len(STATES)), dtype=np.int8)
-            for t in range(1, longest):
-                ways = best[:, :, None] + moves[None]
-                back[:, t] = ways.argmax(axis=1)
-                best = ways.max(axis=1) + grid[:, t]
-                on = sizes > t
-                final[on] = best[on]
-            state = final.argmax(axis=1)
-            path = np.zeros((len(part), longest), dtype=np.int8)
-            for t in range(longest - 1, -1, -1):
-                on = t < sizes
-                path[on, t] = state[on]
-                state = np.where(on & (t > 0), back[np.arange(len(part)), t, state], state)
+                grid[row, : sizes[row]] = numbers[k]
+            first = np.where(self.start_ok, self.known[grid[:, 0]], -1e9)
+            paths = self._trace(grid, sizes, first, np.full(len(part), -1))
             for row, k in enumerate(part):
-                out[k] = path[row, : sizes[row]]
+                out[k] = paths[row, : sizes[row]]
+            at = upto
         return out
 
+    def _trace(self, grid: np.ndarray, sizes: np.ndarray, best: np.ndarray, final: np.ndarray) -> np.ndarray:
+        """Best paths of chains in lockstep, from the first word's scores to the last state in final (-1: the best one)."""
+        moves = np.where(self.ok, self.step, -1e9)
+        rows, longest = grid.shape
+        last, back = best.copy(), np.zeros((rows, longest, len(STATES)), dtype=np.int8)
+        for t in range(1, longest):
+            ways = best[:, :, None] + moves[None]
+            back[:, t] = ways.argmax(axis=1)
+            best = ways.max(axis=1) + self.known[grid[:, t]]
+            on = sizes > t
+            last[on] = best[on]
+        state = np.where(final >= 0, final, last.argmax(axis=1))
+        path = np.zeros((rows, longest), dtype=np.int8)
+        for t in range(longest - 1, -1, -1):
+            on = t < sizes
+            path[on, t] = state[on]
+            state = np.where(on & (t > 0), back[np.arange(rows), t, state], state)
+        return path
+
+    def _long(self, numbers: np.ndarray) -> np.ndarray:
+        """The Viterbi path of a long chain: its segments advance in lockstep from every state that the word before may have,
+        a pass over the segments settles those states, and the segments are traced again."""
+        moves = np.where(self.ok, self.step, -1e9)
+        k, n = len(STATES), len(numbers)
+        many = -(-n // SEGMENT)
+        sizes = np.full(many, SEGMENT)
+        sizes[-1] = n - SEGMENT * (many - 1)
+        grid = np.zeros(many * SEGMENT, dtype=np.int64)
+        grid[:n] = numbers
+        grid = grid.reshape(many, SEGMENT)
+        best = moves[None] + self.known[grid[:, 0]][:, None, :]  # segment, state before, state now
+        best[0] = np.where(self.start_ok, self.known[grid[0, 0]], -1e9)
+        for t in range(1, SEGMENT):
+            on = np.flatnonzero(sizes > t)
+            for s in range(0, len(on), CELLS // SEGMENT):
+                some = on[s : s + CELLS // SEGMENT]
+                best[some] = (best[some][:, :, :, None] + moves).max(axis=2) + self.known[grid[some, t]][:, None, :]
+        total, came = best[0, 0], np.zeros((many, k), dtype=np.int8)
+        for g in range(1, many):
+            ways = total[:, None] + best[g]
+            came[g] = ways.argmax(axis=0)
+            total = ways.max(axis=0)
+        ends = np.zeros(many, dtype=np.int64)
+        ends[-1] = total.argmax()
+        for g in range(many - 1, 0, -1):
+            ends[g - 1] = came[g, ends[g]]
+        path = np.empty((many, SEGMENT), dtype=np.int8)
+        for s in range(0, many, CELLS // SEGMENT):
+            part = slice(s, s + CELLS // SEGMENT)
+            first = self.known[grid[part, 0]] + moves[np.concatenate([[0], ends[:-1]])[part]]
+            if not s:
+                first[0] = np.where(self.start_ok, self.known[grid[0, 0]], -1e9)
+            path[part] = self._trace(grid[part], sizes[part], first, ends[part])
+        return path.reshape(-1)[:n]
+
 
 def model_spans(model: Crf, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, kind number, end) of what the model tags in each text."""
     out: list[list] = [[] for _ in texts]
-    where, scores = [], []
+    where, numbers = [], []
+    model.forget()
     for d, text in enumerate(texts):
         if not _DIGIT.search(text) and "@" not in text and "+" not in text:
             continue
         for chain in chains(text):
             shapes = ["", *(shape(text[s:e]) for s, e in chain), ""]
             where.append((d, chain))
-            scores.append(np.array([model.scores(text[s:e], shapes[k], shapes[k + 2]) for k, (s, e) in enumerate(chain)]))
-    for (d, chain), path in zip(where, model.decode(scores), strict=True):
+            numbers.append(np.array([model.number(text[s:e], *(shapes[k + i] for i in (1, 0, 2))) for k, (s, e) in enumerate(chain)], dtype=np.int64))
+    for (d, chain), path in zip(where, model.decode(numbers), strict=True):
         open_ = None
         for (s, e), state in zip(chain, path.tolist(), strict=True):
             name = STATES[state]
@@ -285,7 +358,14 @@ def model_spans(model: Crf, texts: list[str]) -> list[list[tuple[int, int, int]]
 
 def merged(base: list[tuple[int, int, int]], added: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """All base spans, and the added ones that touch none of them, sorted."""
-    return sorted(base + [x for x in added if not any(x[0] < b[2] and b[0] < x[2] for b in base)])
+    free, at, reach = [], 0, -1
+    for x in added:  # both are sorted; base spans may overlap each other, so the furthest end so far counts
+        while at < len(base) and base[at][0] < x[2]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= x[0]:
+            free.append(x)
+    return sorted(base + free)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
