@@ -107,6 +107,18 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns]
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) whatever its columns' names: that method itself takes none with a dot or backtick."""
+    names = df.columns
+    if not any(c in name for name in names for c in ".`"):
+        return df.mapInArrow(run, schema)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each changed as little as makes it no column of df."""
     taken = {c.lower() for c in df.columns}
