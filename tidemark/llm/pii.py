@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 KINDS = ("email", "ip", "card", "phone")
 SLICE_BYTES = 4 << 20
@@ -424,4 +424,4 @@ def masked(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
                 batch = batch.set_column(k, n_chars, pc.utf8_length(new).cast(batch.column(k).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -16,12 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import durable, ranges, slices
+from .common import durable, fresh, in_arrow, quoted, ranges, slices
 
 HEADS = ("low", "toxic")
 #: The fit's bound: at most so many labelled documents, those with the smallest hashes of their ids.
 FIT_ROWS = 8000
+#: Paths whose rates are told to all executors at once; more are joined by shuffle, a path's documents over SALTS tasks.
+TOLD_SITES, SALTS = 100_000, 16
 BITS = 18
 SLICE_BYTES = 4 << 20
 N_BINS = 64
@@ -45,8 +48,9 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 def featurize(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all texts on end (distinct and sorted in each), and how many each has.
 
-    Features are the words present and their beginnings of STEMS bytes, lower-cased, without marks around them and
-    hashed to BITS bits, then bins of text statistics from 2**BITS on. keep: only features whose flag is set.
+    Features are the words present and their beginnings of STEMS bytes, lower-cased, without the outer four marks a side
+    and hashed to BITS bits (by the first and last eight bytes and the length), then bins of text statistics from 2**BITS
+    on, nine levels each. All of a text counts. keep: only features whose flag is set.
     """
     cased = b" ".join([b" " * 8, *texts, b" " * 8])
     raw = cased.lower()
@@ -88,7 +92,7 @@ def featurize(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.nd
     return keys & 0xFFFFFFFF, np.bincount(keys >> 32, minlength=len(texts))
 
 
-def telling(flat: np.ndarray, row: np.ndarray, labels: np.ndarray, most: int = 4096, least: int = 5, evidence: float = 14.0) -> np.ndarray:
+def telling(flat: np.ndarray, row: np.ndarray, labels: np.ndarray, most: int = 4096, least: int = 4, evidence: float = 14.0) -> np.ndarray:
     """The words whose presence raises the label's odds: likelihood ratio statistic over `evidence`, the `most` strongest; all bins.
 
     Words that lower them are left out: a long document has many, which would outweigh what is wrong with it.
@@ -157,7 +161,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """A model from at most `rows` labelled documents (doc_id, text) and labels (doc_id, quality, toxic).
 
-    Null labels are left out head by head; without any labels the evidence is nil and nothing is rejected.
+    Null labels are left out head by head; without any labels the evidence is nil and nothing is rejected. Of documents
+    with one id the one with the smallest features counts.
     """
     sample = labels.select("doc_id", "quality", "toxic").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(rows)
 
@@ -168,25 +173,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in parts], pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "features", "quality", "toxic"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int"), F.col("toxic").cast("int"))
-    got = sorted(joined.mapInArrow(run, "doc_id long, features binary, quality int, toxic int").collect(), key=lambda r: (r["doc_id"], r["features"]))
+    featured = joined.mapInArrow(run, "doc_id long, features binary, quality int, toxic int")
+    one = featured.groupBy("doc_id", "quality", "toxic").agg(F.min("features").alias("features"))  # so no more than `rows` come
+    none = lambda x: -1 if x is None else x
+    got = sorted(one.collect(), key=lambda r: (r["doc_id"], none(r["quality"]), none(r["toxic"])))
     features = [np.frombuffer(r["features"], dtype=np.uint32).astype(np.int64) for r in got]
     marks = np.array([[-1 if r["quality"] is None else int(r["quality"] == 0), -1 if r["toxic"] is None else int(r["toxic"] == 1)] for r in got]).reshape(-1, 2)
     return Model(features, marks)
 
 
-def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __tm_low and __tm_toxic: the heads' log likelihood ratios of text (0 for a null or empty text)."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"__tm_{h} double" for h in HEADS])
+def with_evidence(docs: DataFrame, model: Model, names: list[str], keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs and, by the two names, the heads' log likelihood ratios of text (0 for a null or empty text)."""
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in names])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight tables of 2**BITS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            texts = [x or b"" for x in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+            at = batch.schema.get_field_index
+            texts = [x or b"" for x in batch.column(at("text")).cast(pa.binary()).to_pylist()]
             empty = np.array([not x for x in texts])
             new = [pa.array(np.where(empty, 0.0, e)) for e in shared.value.evidence(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f"__tm_{h}" for h in HEADS)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in keep), *new], names=[*keep, *names])
 
-    return docs.mapInArrow(run, schema)
+    needed = list(dict.fromkeys([*keep, "text"]))
+    return in_arrow(docs.select(*(F.col(quoted(c)) for c in needed)), run, schema)
 
 
 def _sigmoid(x: Column) -> Column:
@@ -197,12 +207,12 @@ def _logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def site_rates(evidence: DataFrame, priors: list[float]) -> DataFrame:
-    """source, lang, low_rate, toxic_rate: posterior rates of each path, from evidence(source, lang, __tm_low, __tm_toxic).
+def site_rates(evidence: DataFrame, names: list[str], priors: list[float]) -> DataFrame:
+    """source, lang, low_rate, toxic_rate: posterior rates of each path, from evidence(source, lang and the two names).
 
     priors: the log odds, by head, at which the evidence is turned into expected counts.
     """
-    sums = [F.sum(_sigmoid(F.col(f"__tm_{h}") + prior)).alias(f"{h}_sum") for h, prior in zip(HEADS, priors, strict=True)]
+    sums = [F.sum(_sigmoid(F.col(name) + prior)).alias(f"{h}_sum") for h, name, prior in zip(HEADS, names, priors, strict=True)]
     paths = durable(evidence.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), *sums))
     hosts = paths.groupBy("source").agg(F.sum("n").alias("host_n"), *(F.sum(f"{h}_sum").alias(f"{h}_host") for h in HEADS))
     total = hosts.agg(F.sum("host_n").alias("n"), *(F.sum(f"{h}_host").alias(h) for h in HEADS)).first()
@@ -228,19 +238,26 @@ def site_rates(evidence: DataFrame, priors: list[float]) -> DataFrame:
     return durable(both.select("source", "lang", "low_rate", "toxic_rate"))
 
 
-def classified(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, cut: float = 0.5) -> DataFrame:
-    """docs with low_rate, toxic_rate, p_low, p_toxic, reject (either posterior over cut).
+def classified(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, cut: float = 0.5, keep: list[str] | None = None, told_sites: int = TOLD_SITES) -> DataFrame:
+    """docs (only its columns in keep, if given) with low_rate, toxic_rate, p_low, p_toxic, reject (either posterior over cut).
 
     docs has doc_id, text, source, lang and any others; each row is judged by itself, a null or empty text by its
     site alone. Null sources and languages are sites of their own. No labels: no evidence. No rows: no rows. An input
     column that bears a result's name is replaced.
     """
     docs = docs.drop(*RESULTS)
+    kept = list(docs.columns if keep is None else [c for c in keep if c not in RESULTS])
     model = fit(docs, labels, rows)
-    sites = site_rates(with_evidence(docs.select("text", "source", "lang"), model), [prior for _, _, prior in model.heads])
-    scored = with_evidence(docs, model).alias("d")
-    sites = sites.select(F.col("source").alias("__tm_source"), F.col("lang").alias("__tm_lang"), "low_rate", "toxic_rate")
-    joined = scored.join(sites, F.col("source").eqNullSafe(F.col("__tm_source")) & F.col("lang").eqNullSafe(F.col("__tm_lang")), "left").drop("__tm_source", "__tm_lang")
-    for h in HEADS:
-        joined = joined.withColumn(f"p_{h}", _sigmoid(_logit(F.col(f"{h}_rate")) + F.col(f"__tm_{h}")))
-    return joined.withColumn("reject", (F.col("p_low") > cut) | (F.col("p_toxic") > cut)).drop(*(f"__tm_{h}" for h in HEADS))
+    names = fresh(docs, "low_evidence", "toxic_evidence")
+    scored = durable(with_evidence(docs, model, names, list(dict.fromkeys([*kept, "source", "lang"]))))  # texts are read once
+    source, lang, salt = fresh(docs, "site_source", "site_lang", "site_salt")
+    sites = site_rates(scored, names, [prior for _, _, prior in model.heads]).select(F.col("source").alias(source), F.col("lang").alias(lang), "low_rate", "toxic_rate")
+    same = F.col("source").eqNullSafe(F.col(source)) & F.col("lang").eqNullSafe(F.col(lang))
+    if sites.count() <= told_sites:
+        joined = scored.join(F.broadcast(sites), same, "left")
+    else:
+        mine, every = scored.withColumn(salt, F.spark_partition_id() % SALTS), sites.withColumn(salt + "_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = mine.join(every, same & (F.col(salt) == F.col(salt + "_")), "left")
+    posteriors = [_sigmoid(_logit(F.col(f"{h}_rate")) + F.col(name)).alias(f"p_{h}") for h, name in zip(HEADS, names, strict=True)]
+    out = joined.select(*(F.col(quoted(c)) for c in kept), "low_rate", "toxic_rate", *posteriors)
+    return out.withColumn("reject", (F.col("p_low") > cut) | (F.col("p_toxic") > cut))
