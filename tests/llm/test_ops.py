@@ -389,6 +389,48 @@ def test_topk(spark):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_topk_large_values(spark):
+    """Components over which int64 wraps or floats round, repeated ids, and scores that no long holds."""
+    top = lambda rows: collected(topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2))
+    near = [(0, [2.0**23 + 0.5, 1.0]), (1, [2.0**23, 3.0]), (2, [2.0**23 + 0.25, -1.0]), (50, [-1.0, 2.0**23])]
+    exact = {i: [int(256 * x) if x == int(256 * x) / 256 else int(np.floor(256 * x)) for x in v] for i, v in near}
+    want = []
+    for q in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], exact[c], strict=True)), c) for c, _ in near if c != q)[:2]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert top(near) == sorted(want, key=repr)
+    # 1e306 * 256 is no float; its products with zero are still zero.
+    assert top([(0, [0.0, 0.5]), (1, [1e306, 1.0]), (2, [-1e300, 2.0])]) == [(0, 1, 2, 128 * 512), (0, 2, 1, 128 * 256)]
+    for rows in ([(0, [1e10, 1.0]), (1, [1e10, 2.0])], [(0, [1e30, 1.0]), (1, [-1e30, 2.0])]):
+        with pytest.raises(Exception, match="OverflowError"):
+            top(rows)
+    # What is beyond a long but not among the best does no harm.
+    assert top([(0, [1e20, 1.0]), (1, [0.0, 2.0]), (2, [0.0, 1.0]), (3, [-1e20, 1.0])]) == [(0, 1, 1, 256 * 512), (0, 2, 2, 256 * 256)]
+    assert top([(0, [1.0]), (0, [2.0]), (7, [1.0])]) == sorted([(0, 1, 0, 512 * 256), (0, 2, 7, 256 * 256), (0, 1, 0, 512 * 256), (0, 2, 7, 512 * 256)], key=repr)
+
+
+def test_topk_eliminates(spark, monkeypatch):
+    """Rows around a few far points: a query's own surroundings hold its best, and most other rows are never evaluated."""
+    monkeypatch.setattr(topk, "ROWS_A_CENTRE", 100)
+    monkeypatch.setattr(topk, "CANDIDATES_AT_ONCE", 64)
+    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", 8)
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(12, 16))
+    points *= 8 / np.linalg.norm(points, axis=1)[:, None]
+    which = np.where(rng.random(2400) < 0.33, 0, rng.integers(0, 12, 2400))
+    vectors = points[which] + rng.normal(scale=0.05, size=(2400, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    whole = np.floor(256 * vectors).astype(np.int64)
+    want = []
+    for q in range(0, 2400, 50):
+        scores = whole @ whole[q]
+        best = sorted((-int(s), c) for c, s in enumerate(scores) if c != q)[:5]
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    assert collected(topk.exact_top_k(df)) == sorted(want, key=repr)
+    evaluated = topk.exact_top_k(df, report=True).agg(F.sum("n_evaluated"), F.count("query_id")).first()
+    assert evaluated[1] == 48 and evaluated[0] < 0.3 * 48 * 2399
+
+
 def test_globs_match_regexes():
     rng = random.Random(12)
     globs = ["".join(rng.choice("ab*?#") for _ in range(rng.randint(0, 9))) for _ in range(40)]
