@@ -39,6 +39,8 @@ GRAM = 16
 OFFSETS = LENGTH - GRAM + 1
 RUN_BYTES = 8 << 20
 PIECE_BYTES = 1 << 18
+#: Bytes of input for each bucket of grams and part of the merge.
+PART_BYTES = 16 << 20
 HASH_BITS = 48
 LANES = 512
 
@@ -528,14 +530,14 @@ def remove_repeats(docs: DataFrame, keep: bool = False) -> DataFrame:
     input. A null text is empty. A row with a null doc_id is kept whole and makes no other lose anything; rows of one
     doc_id do not cost each other anything. Other columns are not read.
     """
-    spark = docs.sparkSession
-    parts = parallelism(spark)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(parallelism(docs.sparkSession), -(-size // PART_BYTES))  # so a part is no larger at any size of the input
     scanned = durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(parts), _RUNS))
     runs = scanned.where("kind = 'run'").select("run", "n", "a", "b", "c")
     grams = scanned.where("kind = 'grams'").select("run", "bucket", "n", "a", "b", "c")
-    answers = durable(grams.groupBy("bucket").applyInArrow(_answer, "run long, bucket long, n long, bits binary"))
+    answers = durable(grams.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_answer, "run long, bucket long, n long, bits binary"))
     entries = runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_send(parts), "part long, run long, n long, small binary, rights binary, lefts binary, docs binary")
-    masks = entries.groupBy("part").applyInArrow(_merge, "run long, part long, n long, masks binary")
+    masks = entries.repartition(parts, "part").groupBy("part").applyInArrow(_merge, "run long, part long, n long, masks binary")
     back = masks.select("run", "part", "n", "masks", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits")).unionByName(
         answers.select("run", F.lit(None).cast("long").alias("part"), "n", F.lit(None).cast("binary").alias("masks"), "bucket", "bits")
     )
