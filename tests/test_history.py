@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -76,3 +77,20 @@ def test_live_history_matches_batch(spark, tmp_path):
     want = {(r["user"], r["us"]): r["n_t"] for r in H.decayed(spark.createDataFrame(rows, "user long, us long"), "user", "us", {"n": F.lit(1.0)}, {"t": 7200.0}).collect()}
     got = [r for r in spark.table("live").collect() if not r["late"]]
     assert got and all(math.isclose(r["v_t"], want[(r["entity"], r["us"])], rel_tol=1e-9, abs_tol=1e-12) for r in got)
+
+
+def test_live_history_marks_nulls_late(spark, tmp_path):
+    from tidemark.streaming.live import live_decay
+
+    rows = [(1, 0), (1, None), (None, HOUR), (None, None), (1, HOUR)]
+    spark.createDataFrame(rows, "user long, us long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user long, us long").parquet(str(tmp_path / "in"))
+    q = live_decay(stream, "user", "us", {"t": 3600.0}, forget_after_ms=3_600_000).writeStream.format("memory").queryName("nulls").outputMode("append").trigger(processingTime="1 second").start()
+    for _ in range(100):  # with a timeout there is always a next batch, so wait for the rows
+        time.sleep(0.5)
+        if q.exception() or spark.table("nulls").count() == 5:
+            break
+    q.stop()
+    assert q.exception() is None
+    got = sorted(((r["entity"], r["us"], r["late"], round(r["v_t"], 6)) for r in spark.table("nulls").collect()), key=repr)
+    assert got == sorted([(1, 0, False, 0.0), (1, HOUR, False, round(math.exp(-1), 6)), (1, None, True, 0.0), (None, HOUR, True, 0.0), (None, None, True, 0.0)], key=repr)

@@ -47,6 +47,12 @@ def test_client():
     reply = client.create("m", {"q": 1.0, "p": 2.0})
     assert client.models_list() == ["m"] and client.verify_decision(reply)
     assert not client.verify_decision(reply | {"model": "n"})
+    for name, value in (("base", 100.0), ("rate", 0.9)):  # a forged record that is whole in itself
+        body = {k: v for k, v in reply["record"].items() if k != "sha256"} | {name: value}
+        body["score"] = body["base"] + body["rate"] * sum(p["value"] for p in body["parts"])
+        forged = body | {"sha256": proofs.digest(body)}
+        assert proofs.check(forged) and not client.verify_decision(reply | {"record": forged})
+    assert not client.verify_decision(reply | {"record": None})
 
 
 def test_program_search_finds_conjunction(spark):

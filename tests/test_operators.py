@@ -27,6 +27,12 @@ def test_proofs_hold_and_tampering_fails():
     loop[2] = [loop]
     assert not datalog.check(loop)
     assert not datalog.check(None)
+    # A proof may not lean on the absence of what the rules derive.
+    both = [(("p", "X"), [("q", "X")]), (("r", "X"), [("s", "X"), ("not", ("p", "X"))])]
+    facts = {("q", "a"), ("s", "a"), ("s", "b")}
+    assert datalog.check(datalog.prove(("r", "b"), both, facts), facts, both)
+    assert not datalog.check((("r", "a"), both[1], [(("s", "a"), "base", [])]), facts, both)
+    assert not datalog.check(datalog.prove(("r", "b"), both, facts))
     assert datalog.prove(("path", "a", "z"), rules, base) is None
 
 

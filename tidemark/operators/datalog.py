@@ -107,8 +107,15 @@ def evaluate(rule: Rule, facts: dict[str, DataFrame], delta: tuple[int, DataFram
     return now.select(*((F.col(x) if is_variable(x) else F.lit(x)).alias(f"a{k}") for k, x in enumerate(head[1:]))).distinct()
 
 
-def closure(rules: list[Rule], facts: dict[str, DataFrame], most_rounds: int = 1000) -> dict[str, DataFrame]:
-    """All facts that follow, by predicate. Each round joins only what the round before has added (semi-naive)."""
+#: Rounds after which the known facts are written out as one table, so that plans stay small however long a chain is.
+COMPACT_EVERY = 16
+
+
+def closure(rules: list[Rule], facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All facts that follow, by predicate, up to the fixpoint. Each round joins only what the round before has added (semi-naive).
+
+    Rules with arithmetic can derive without end, and then this does not return.
+    """
     known = dict(facts)
     arity = {h[0]: len(h) - 1 for h, _ in rules}
     spark = next(iter(facts.values())).sparkSession
@@ -128,11 +135,13 @@ def closure(rules: list[Rule], facts: dict[str, DataFrame], most_rounds: int = 1
             return out
 
         added = fresh([(r[0][0], evaluate(r, known)) for r in own])
-        for _ in range(most_rounds):
-            if not added:
-                break
+        rounds = 0
+        while added:
+            rounds += 1
             for p, d in added.items():
                 known[p] = known[p].unionByName(d)
+                if rounds % COMPACT_EVERY == 0:
+                    known[p] = cut(known[p])
             added = fresh([(r[0][0], evaluate(r, known, (k, added[item[0]]))) for r in own for k, item in enumerate(r[1]) if _kind(item) == "atom" and item[0] in added])
     return known
 
@@ -204,7 +213,8 @@ def _matches(body: list, facts: list[Atom], binding: dict, used: list):
 def check(proof, base: set[Atom] | None = None, rules: list[Rule] | None = None, path: tuple = ()) -> bool:
     """Whether a proof holds, re-derived step by step; anything malformed, cyclic or too deep does not.
 
-    base and rules, if given, are the only trusted ones. Negated items are checked against base facts only.
+    base and rules, if given, are the only trusted ones. A negated item holds if its fact is neither in base nor follows
+    by the rules; without base and rules nobody can tell, and the proof does not hold.
     """
     try:
         fact, rule, premises = proof
@@ -228,7 +238,10 @@ def check(proof, base: set[Atom] | None = None, rules: list[Rule] | None = None,
                 if binding is None:
                     return False
             elif kind == "not":
-                if (item[1][0], *(binding.get(x, x) for x in item[1][1:])) in (base or ()):
+                absent = (item[1][0], *(binding.get(x, x) for x in item[1][1:]))
+                if base is None or rules is None or absent in base:
+                    return False
+                if any(h[0] == absent[0] for h, _ in rules) and prove(absent, rules, base) is not None:
                     return False
             elif kind == "cmp":
                 if not _VALUE[item[1]](binding.get(item[2], item[2]), binding.get(item[3], item[3])):
