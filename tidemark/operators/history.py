@@ -43,31 +43,58 @@ def mark_scale(df: DataFrame, value: str) -> float:
     return found or 1.0
 
 
+#: A block holds so many of its longest scale, and no more than so many of its shortest; scales that share blocks are
+#: within this ratio. Blocks that ended further back than SPAN scales weigh under 1e-27 and are not looked at.
+BLOCK_SCALES, MOST_SCALES, RATIO, SPAN = 8.0, 500.0, 32.0, 64.0
+
+
+def _groups(taus: dict[str, float]) -> list[dict[str, float]]:
+    """Scales in ascending groups whose ratio is RATIO at most."""
+    out: list[dict[str, float]] = []
+    for name, tau in sorted(taus.items(), key=lambda x: x[1]):
+        if out and tau <= RATIO * next(iter(out[-1].values())):
+            out[-1][name] = tau
+        else:
+            out.append({name: tau})
+    return out
+
+
+def _running(batches: DataFrame, entity: str, order: str, weights: list[str], taus: dict[str, float], block: int | None) -> DataFrame:
+    """entity, order and <weight>_<scale>: sums over strictly earlier batches of weight * exp(-age / tau), age and tau in units of order.
+
+    An entity's line is cut into blocks. Within one, weights grown by exp(place / tau) are added up in one running sum and
+    shrunk again, so the work is linear; what lies before is carried in from the totals of the few blocks that matter.
+    """
+    out: DataFrame | None = None
+    for group in _groups(taus):
+        longest, shortest = max(group.values()), min(group.values())
+        width = max(1, int(min(block or BLOCK_SCALES * longest, MOST_SCALES * shortest)))
+        back = int(-(-SPAN * longest // width))
+        names = [(f"{w}_{t}", w, tau) for w in weights for t, tau in group.items()]
+        dealt = batches.withColumn("__block", F.floor(F.col(order) / F.lit(width)).cast("long"))
+        start = F.col("__block") * width
+        age = lambda later, earlier, tau: F.exp(-(later - earlier) / F.lit(tau))
+        totals = dealt.groupBy(entity, "__block").agg(*(F.sum(F.col(w) * age(start + width, F.col(order), tau)).alias(n) for n, w, tau in names))
+        near = Window.partitionBy(entity).orderBy("__block").rangeBetween(-back, -1)
+        kept = totals.withColumn("__past", F.collect_list(F.struct("__block", *(n for n, _, _ in names))).over(near))  # `back` totals at most
+        carried = lambda n, tau: lambda a, x: a + x[n] * age(start, (x["__block"] + 1) * width, tau)
+        carry = kept.select(entity, "__block", *(F.aggregate("__past", F.lit(0.0), carried(n, tau)).alias(f"__carry_{n}") for n, _, tau in names))
+        inside = Window.partitionBy(entity, "__block").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+        grown = dealt.select("*", *(F.sum(F.col(w) * F.exp((F.col(order) - start) / F.lit(tau))).over(inside).alias(f"__sum_{n}") for n, w, tau in names)).join(carry, [entity, "__block"])
+        part = grown.select(entity, order, *(((F.coalesce(F.col(f"__sum_{n}"), F.lit(0.0)) + F.col(f"__carry_{n}")) * age(F.col(order), start, tau)).alias(n) for n, _, tau in names))
+        out = part if out is None else out.join(part, [entity, order])
+    return out.select(entity, order, *(f"{w}_{t}" for w in weights for t in taus))
+
+
 def decayed(df: DataFrame, entity: str, us: str, weights: dict[str, Column], taus: dict[str, float], block_us: int | None = None) -> DataFrame:
     """entity, us and, for each weight and scale, sum over strictly earlier events of weight * exp(-age / tau).
 
-    Events of one batch are summed first. An entity's time line is cut into blocks of block_us (default: the longest
-    tau), so that a hot entity is many windows' work: within a block the prior sum runs over the block's batches; what
-    lies before is carried in, decayed, from one total for each earlier block.
+    Events of one batch are summed first. An entity's time line is cut into blocks (of block_us, if given, as far as
+    floats hold the growth of the shortest scale within one), so that a hot entity is many windows' work; scales far
+    apart have blocks of their own. The work is linear in the batches.
     """
-    block_us = block_us or int(max(taus.values()) * MICROS)
-    batches = collapse_ties(df, [entity], us, **{name: F.sum(w) for name, w in weights.items()}).withColumn("__block", F.floor(F.col(us) / F.lit(block_us)).cast("long"))
-    age = lambda later, earlier, tau: F.exp(-(later - earlier) / F.lit(tau * MICROS))
-    names = [(f"{w}_{t}", w, tau) for w in weights for t, tau in taus.items()]
-    end = (F.col("__block") + 1) * block_us
-    totals = batches.groupBy(entity, "__block").agg(*(F.sum(F.col(w) * age(end, F.col(us), tau)).alias(n) for n, w, tau in names))
-    earlier = Window.partitionBy(entity).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    kept = totals.withColumn("__past", F.collect_list(F.struct("__block", *(n for n, _, _ in names))).over(earlier))
-    start = F.col("__block") * block_us
-    carried = lambda n, tau: lambda a, x: a + x[n] * age(start, (x["__block"] + 1) * block_us, tau)
-    carry = kept.select(entity, "__block", *(F.aggregate("__past", F.lit(0.0), carried(n, tau)).alias(f"__carry_{n}") for n, _, tau in names))
-    inside = Window.partitionBy(entity, "__block").orderBy(us).rangeBetween(Window.unboundedPreceding, -1)
-    seen = batches.withColumn("__seen", F.collect_list(F.struct(us, *weights)).over(inside)).join(carry, [entity, "__block"])
-    summed = lambda w, tau: lambda a, x: a + x[w] * age(F.col(us), x[us], tau)
-    return seen.select(
-        entity, us,
-        *((F.aggregate("__seen", F.lit(0.0), summed(w, tau)) + F.col(f"__carry_{n}") * age(F.col(us), start, tau)).alias(n) for n, w, tau in names),
-    )
+    batches = collapse_ties(df, [entity], us, **{name: F.sum(w.cast("double")) for name, w in weights.items()})
+    return _running(batches, entity, us, list(weights), {t: tau * MICROS for t, tau in taus.items()}, block_us)
 
 
 def bands(df: DataFrame, names: list[str]) -> DataFrame:
@@ -208,12 +235,16 @@ def suffix_tree(df: DataFrame, entity: str, us: str, mark: Column, block: Column
 
 
 def half_life_mean(df: DataFrame, entity: str, period: str, metric: str, half_life: float) -> DataFrame:
-    """entity, period, value: mean of metric over strictly earlier periods, weighted 2 ** (-age / half_life); null without any."""
-    w = prior_window([entity], period)
-    past = df.groupBy(entity, period).agg(F.sum(metric).alias("__s"), F.count(metric).alias("__n")).withColumn("__past", F.collect_list(F.struct(period, "__s", "__n")).over(w))
-    weight = lambda x: F.pow(F.lit(2.0), -(F.col(period) - x[period]) / half_life)
-    total = lambda part: F.aggregate("__past", F.lit(0.0), lambda a, x: a + weight(x) * x[part])
-    return past.select(entity, period, F.when(F.size("__past") > 0, total("__s") / total("__n")).alias("value"))
+    """entity, period, value: mean of metric over strictly earlier periods, weighted 2 ** (-age / half_life); null without any.
+
+    The mean as of the period before, which age alone does not change: sums up to it, itself included, linear in periods.
+    """
+    import math
+
+    sums = df.groupBy(entity, period).agg(F.coalesce(F.sum(metric).cast("double"), F.lit(0.0)).alias("__s"), F.count(metric).cast("double").alias("__n"))
+    before = _running(sums, entity, period, ["__s", "__n"], {"h": half_life / math.log(2)}, None)
+    upto = sums.join(before, [entity, period]).withColumn("__mean", F.try_divide(F.col("__s") + F.col("__s_h"), F.col("__n") + F.col("__n_h")))
+    return upto.select(entity, period, F.lag("__mean").over(Window.partitionBy(entity).orderBy(period)).alias("value"))
 
 
 def percent_rank_average(values: Column | str, partition: list[str]) -> Column:

@@ -1,50 +1,117 @@
-"""Byte-phrase evidence: which byte n-grams tell classes apart."""
+"""Byte-phrase evidence: which byte n-grams tell classes apart.
+
+An n-gram is one long: its bytes, the first one highest. Each document's n-grams are counted where the document is read, so
+what is shuffled is a row for each document and different n-gram.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.cut import cut
+from tidemark.operators.prefix import prior_totals
 
 LENGTHS = (3, 4, 5)
+#: Fixed values of the reference budget: documents and bytes a class at most, bytes over all classes, bytes a class at least.
+CLASS_DOCUMENTS, CLASS_BYTES, ALL_BYTES, LEAST_BYTES = 4096, 64 << 10, 512 << 10, 1024
+
+
+def framed(text: str | None, most: int | None = None) -> bytes:
+    """A text's bytes in normal form KC, `most` of them at most, between the bytes FF and FE, which UTF-8 does not have; null is empty."""
+    return b"\xff" + unicodedata.normalize("NFKC", text or "").encode()[:most] + b"\xfe"
+
+
+def packed(data: bytes, length: int) -> np.ndarray:
+    """The n-grams of one length as numbers, in their order."""
+    x = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
+    n = len(x) - length + 1
+    out = np.zeros(max(n, 0), dtype=np.int64)
+    for k in range(length if n > 0 else 0):
+        out = out << 8 | x[k : k + n]
+    return out
+
 
+def shown(length: str, gram: str) -> Column:
+    """An n-gram's bytes as hex digits."""
+    return F.lpad(F.hex(gram), 2 * F.col(length), "0")
 
-def ngrams(docs: DataFrame, doc: str, text: str, keep: list[str] | None = None) -> DataFrame:
-    """doc, kept columns, len, gram: every byte n-gram of the whole framed text, as hex. A null text is the frame alone.
 
-    Texts are framed by the bytes FF and FE, which UTF-8 does not have.
+def ngrams(docs: DataFrame, doc: str, text: str, keep: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """doc, kept columns, len, gram, n: the different byte n-grams of each row's framed text and how often each occurs.
+
+    The whole text counts unless `most` bytes are given. A null text is the frame alone.
     """
     keep = keep or []
-    framed = docs.select(doc, *keep, F.concat(F.unhex(F.lit("FF")), F.encode(F.coalesce(text, F.lit("")), "UTF-8"), F.unhex(F.lit("FE"))).alias("x"))
-    placed = framed.select(doc, *keep, "x", F.explode(F.sequence(F.lit(1), F.length("x"))).alias("i"))
-    each = F.array(*(F.struct(F.lit(n).alias("len"), F.hex(F.substring(F.col("x"), F.col("i"), F.lit(n))).alias("gram")) for n in LENGTHS))
-    return placed.select(doc, *keep, F.explode(each).alias("g")).select(doc, *keep, "g.*").where(F.length("gram") == 2 * F.col("len"))
+    schema = T.StructType([*(docs.schema[c] for c in (doc, *keep)), T.StructField("len", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lengths, grams, counts = [], [], [], []
+            for i, x in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                data = framed(x, most)
+                for length in LENGTHS:
+                    found, times = np.unique(packed(data, length), return_counts=True)
+                    rows.append(np.full(len(found), i))
+                    lengths.append(np.full(len(found), length, dtype=np.int32))
+                    grams.append(found)
+                    counts.append(times)
+                if sum(map(len, rows[-64:])) > 200_000 or i + 1 == batch.num_rows:
+                    at = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(1 + len(keep))), pa.array(np.concatenate(lengths)), pa.array(np.concatenate(grams)), pa.array(np.concatenate(counts).astype(np.int64))], names=[doc, *keep, "len", "gram", "n"])
+                    rows, lengths, grams, counts = [], [], [], []
+
+    return docs.select(doc, *keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def reference_budget(docs: DataFrame, doc: str, text: str, target: str) -> DataFrame:
+    """doc, target, text of the documents that phrases are learnt from, with equal bytes a class.
+
+    A class's first CLASS_DOCUMENTS documents by the MD5 of their id count; the budget is the least of CLASS_BYTES, ALL_BYTES
+    over the classes and the smallest class's bytes, LEAST_BYTES at least; the text that crosses it is cut there.
+    """
+    order = F.md5(F.col(doc).cast("string"))
+    ranked = docs.where(F.col(target).isNotNull()).withColumn("__rank", F.row_number().over(Window.partitionBy(target).orderBy(order, doc))).where(F.col("__rank") <= CLASS_DOCUMENTS)
+    sized = cut(ranked.select(doc, target, F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("__raw"), "__rank"))
+    before = prior_totals(sized, "__rank", F.floor(F.col("__rank") / 256), (target,), b=F.sum(F.length("__raw")))
+    classes = sized.groupBy(target).agg(F.sum(F.length("__raw")).alias("b"))
+    budget = classes.agg(F.greatest(F.least(F.lit(CLASS_BYTES), F.floor(F.lit(ALL_BYTES) / F.count(F.lit(1))), F.min("b")), F.lit(LEAST_BYTES)).alias("__budget"))
+    left = sized.join(before, [target, "__rank"]).crossJoin(F.broadcast(budget)).withColumn("__left", F.col("__budget") - F.col("prior_b"))  # one row
+    return left.where("__left > 0").select(doc, target, F.substring(F.col("__raw"), F.lit(1), F.col("__left").cast("int")).alias("reference"))
 
 
-def phrase_counts(grams: DataFrame, doc: str, target: str) -> DataFrame:
-    """len, gram, class, n, df: occurrences by class and documents over all classes."""
-    by_class = grams.groupBy("len", "gram", F.col(target).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(doc).alias("d"))
+def phrase_counts(grams: DataFrame, target: str) -> DataFrame:
+    """len, gram, class, n, df: occurrences by class, and documents over all classes."""
+    by_class = grams.groupBy("len", "gram", F.col(target).alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"))
     return by_class.withColumn("df", F.sum("d").over(Window.partitionBy("len", "gram"))).drop("d")
 
 
-def phrase_weights(counts: DataFrame, classes: list[int], most: int = 2048) -> DataFrame:
+def phrase_weights(grams: DataFrame, target: str, classes: list[int], most: int = 2048) -> DataFrame:
     """len, gram, df, span, rank and w<class>: quantized log2 ratios to the mean class probability of the strongest phrases.
 
     p = (n + 1/2) / (positions of that length in the class + V / 2), V phrases of that length. Kept: df >= 2, span of the
     weights >= 1/2 bit; ranked by span * sqrt(df) * (1 + 0.15 (len - 3)); weights are clipped to 12 bits and held in 256ths.
     """
-    positions = counts.groupBy("len").agg(F.count_distinct("gram").alias("v"), *(F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"t{c}") for c in classes))
-    wide = counts.groupBy("len", "gram").agg(F.max("df").alias("df"), *(F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in classes)).where("df >= 2")
-    p = wide.join(F.broadcast(positions), "len").withColumns({f"p{c}": (F.col(f"n{c}") + 0.5) / (F.col(f"t{c}") + 0.5 * F.col("v")) for c in classes})  # a row a length
+    one = lambda c: F.sum(F.when(F.col(target) == c, F.col("n")).otherwise(0)).alias(f"n{c}")
+    wide = cut(grams.groupBy("len", "gram").agg(F.sum(F.col(target).isNotNull().cast("long")).alias("df"), *map(one, classes)))
+    positions = wide.groupBy("len").agg(F.count(F.lit(1)).alias("v"), *(F.sum(f"n{c}").alias(f"t{c}") for c in classes))
+    p = wide.where("df >= 2").join(F.broadcast(positions), "len").withColumns({f"p{c}": (F.col(f"n{c}") + 0.5) / (F.col(f"t{c}") + 0.5 * F.col("v")) for c in classes})  # a row a length
     mean = sum((F.col(f"p{c}") for c in classes[1:]), F.col(f"p{classes[0]}")) / len(classes)
     w = p.withColumns({f"w{c}": F.log2(F.col(f"p{c}") / mean) for c in classes})
     span = F.greatest(*(F.col(f"w{c}") for c in classes)) - F.least(*(F.col(f"w{c}") for c in classes))
     scored = w.withColumn("span", span).where("span >= 0.5").withColumn("score", F.round(F.col("span") * F.sqrt("df") * (1 + 0.15 * (F.col("len") - 3)), 6))
-    top = scored.orderBy(F.desc("score"), "gram").limit(most)
+    top = scored.orderBy(F.desc("score"), shown("len", "gram")).limit(most)
     return top.select("len", "gram", "df", "span", "score", *(F.rint(F.least(F.greatest(F.col(f"w{c}"), F.lit(-12.0)), F.lit(12.0)) * 256).cast("int").alias(f"w{c}") for c in classes))
 
 
 def phrase_scores(grams: DataFrame, weights: DataFrame, doc: str, classes: list[int], sizes: DataFrame) -> DataFrame:
     """doc, s<class>, coverage: sums of weights over 256 * max(1, bytes - 2), and known n-grams over that; sizes(doc, bytes) of the framed texts."""
-    hit = grams.join(F.broadcast(weights), ["len", "gram"]).groupBy(doc).agg(F.count(F.lit(1)).alias("hits"), *(F.sum(f"w{c}").alias(f"w{c}") for c in classes))  # weights: 2,048 rows at most
+    hit = grams.join(F.broadcast(weights), ["len", "gram"]).groupBy(doc).agg(F.sum("n").alias("hits"), *(F.sum(F.col("n") * F.col(f"w{c}")).alias(f"w{c}") for c in classes))  # weights: 2,048 rows at most
     per = F.greatest(F.col("bytes") - 2, F.lit(1))
     return sizes.join(hit, doc, "left").select(doc, *((F.coalesce(f"w{c}", F.lit(0)) / (256.0 * per)).alias(f"s{c}") for c in classes), (F.coalesce("hits", F.lit(0)) / per).alias("coverage"))

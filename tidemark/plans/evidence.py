@@ -167,7 +167,8 @@ def _grams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(_GRAMS_SQL + " SELECT len::INT AS len, gram, class, n, df::BIGINT AS df FROM k")
 def byte_ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG34, FN10, FN11: byte n-grams of whole texts by class, with document frequency."""
-    return P.phrase_counts(_grams(spark, sf_dir)[0], "doc_id", "quality")
+    counts = P.phrase_counts(_grams(spark, sf_dir)[0], "quality")
+    return counts.withColumn("gram", P.shown("len", "gram"))
 
 
 _WEIGHTS_SQL = _GRAMS_SQL + """, pos AS (SELECT len, count(DISTINCT gram) AS v, sum(n) FILTER (class = 0) AS t0, sum(n) FILTER (class = 1) AS t1 FROM k GROUP BY len),
@@ -179,16 +180,27 @@ top AS (SELECT len, gram, df, score, round_even(greatest(least(l0, 12), -12) * 2
 
 @query(_WEIGHTS_SQL + " SELECT len::INT AS len, gram, df::BIGINT AS df, w0, w1 FROM top")
 def phrase_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG35, AG36, SL3: the strongest phrases with quantized class weights."""
-    counts = P.phrase_counts(_grams(spark, sf_dir)[0], "doc_id", "quality")
-    return P.phrase_weights(counts, [0, 1]).select("len", "gram", "df", "w0", "w1")
+    """AG36, SL3: the strongest phrases with quantized class weights."""
+    return P.phrase_weights(_grams(spark, sf_dir)[0], "quality", [0, 1]).select("len", P.shown("len", "gram").alias("gram"), "df", "w0", "w1")
+
+
+@query("""
+WITH x AS (SELECT d.doc_id, l.quality, encode(coalesce(d.text, '')) AS raw, row_number() OVER (PARTITION BY l.quality ORDER BY md5(d.doc_id::VARCHAR), d.doc_id) AS rank FROM documents d JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL),
+s AS (SELECT *, octet_length(raw) AS b FROM x WHERE rank <= 4096), p AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY quality ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+g AS (SELECT greatest(least(65536, floor(524288 / count(*)), min(t)), 1024) AS budget FROM (SELECT sum(b) AS t FROM s GROUP BY quality))
+SELECT doc_id, quality, least(b, budget - before)::BIGINT AS n_bytes, lower(substr(hex(raw), 1, (2 * least(b, budget - before))::BIGINT)) AS bytes FROM p, g WHERE budget > before""")
+def reference_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG35: equal bytes a class of the documents that phrases are learnt from."""
+    labelled = load(spark, sf_dir, "documents").select("doc_id", "text").join(load(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    out = P.reference_budget(labelled, "doc_id", "text", "quality")
+    return out.select("doc_id", "quality", F.length("reference").cast("long").alias("n_bytes"), F.lower(F.hex("reference")).alias("bytes"))
 
 
 @query(_WEIGHTS_SQL + ", h AS (SELECT doc_id, count(*) AS hits, sum(w0) AS w0, sum(w1) AS w1 FROM g JOIN top USING (len, gram) GROUP BY doc_id) SELECT x.doc_id, round(coalesce(w0, 0) / (256.0 * greatest(length(x) // 2 - 2, 1)), 6) AS s0, round(coalesce(w1, 0) / (256.0 * greatest(length(x) // 2 - 2, 1)), 6) AS s1, round(coalesce(hits, 0) / greatest(length(x) // 2 - 2, 1)::DOUBLE, 6) AS coverage FROM x LEFT JOIN h ON h.doc_id = x.doc_id")
 def phrase_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN12: class scores of documents from the chosen phrases."""
     grams, sizes = _grams(spark, sf_dir)
-    weights = P.phrase_weights(P.phrase_counts(grams, "doc_id", "quality"), [0, 1])
+    weights = P.phrase_weights(grams, "quality", [0, 1])
     out = P.phrase_scores(grams, weights, "doc_id", [0, 1], sizes)
     return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("s0", "s1", "coverage")))
 
