@@ -185,6 +185,19 @@ def _intervals(measured: DataFrame, n_pivots: int, n_centres: int) -> tuple[np.n
     return low, high, rows, queries
 
 
+def _packed(queries: list[int], groups: list[int]) -> list[int]:
+    """By centre, the number of the first team its queries are in: a team is a part of a large centre's, or several small centres'."""
+    out, teams, held = [0] * len(queries), 0, QUERIES_AT_ONCE
+    for c, n in enumerate(queries):
+        if groups[c] > 1:
+            out[c], teams, held = teams, teams + groups[c], QUERIES_AT_ONCE
+            continue
+        if held + n > QUERIES_AT_ONCE:
+            teams, held = teams + 1, 0
+        out[c], held = teams - 1, held + n
+    return out
+
+
 def exact_top_k(embeddings: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS, report: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by every, the k largest inner products with other rows.
 
@@ -215,9 +228,10 @@ def exact_top_k(embeddings: DataFrame, every: int = 50, k: int = 5, pivots: int
     blocks = [-(-x // CANDIDATES_AT_ONCE) or 1 for x in rows]
     groups = [-(-x // QUERIES_AT_ONCE) or 1 for x in queries]
     by_centre = lambda values, centre: F.element_at(F.array(*map(F.lit, values)), F.col(centre) + 1)
+    bases = _packed(queries, groups)
     dealt = lambda of, salt: F.pmod(F.xxhash64("row", F.lit(salt)), of).cast("int")
     candidates = measured.select("row", "vec_id", "v", "far", "centre", dealt(by_centre(blocks, "centre"), 0).alias("block"))
-    asking = measured.where("near is not null").select("row", "vec_id", "v", "near", F.col("centre").alias("home"), dealt(by_centre(groups, "centre"), 1).alias("part"))
+    asking = measured.where("near is not null").select("row", "vec_id", "v", "near", F.col("centre").alias("home"), dealt(by_centre(groups, "centre"), 1).alias("part")).withColumn("team", by_centre(bases, "home") + F.col("part"))
 
     def first(left: pa.Table, right: pa.Table) -> pa.Table:
         ask = _Block(left, space, "near")
@@ -247,19 +261,19 @@ def exact_top_k(embeddings: DataFrame, every: int = 50, k: int = 5, pivots: int
             query, centre = np.nonzero(np.stack(go, axis=1))
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(query)) for k in range(batch.num_columns)), pa.array(centre.astype(np.int32))], names=[*batch.schema.names, "centre"])
 
-    known = asking.join(thresholds, "row", "left").select("row", "vec_id", "v", "near", "home", "part", "at_least")
-    wanted = "row long, vec_id long, v binary, near binary, home int, part int, at_least long, centre int"
+    known = asking.join(thresholds, "row", "left").select("row", "vec_id", "v", "near", "team", "at_least")
+    wanted = "row long, vec_id long, v binary, near binary, team int, at_least long, centre int"
     each_block = F.explode(F.sequence(F.lit(0), by_centre(blocks, "centre") - 1)).alias("block")
     going = durable(known.mapInArrow(visits, wanted))
-    pairs = going.select("centre", "home", "part").distinct().select(*(F.col(c).alias(f"to_{c}") for c in ("centre", "home", "part")), each_block.alias("to_block"))
-    sent = candidates.join(pairs, (F.col("centre") == F.col("to_centre")) & (F.col("block") == F.col("to_block"))).select("row", "vec_id", "v", "far", "to_centre", "to_block", "to_home", "to_part")
+    pairs = going.select("centre", "team").distinct().select(*(F.col(c).alias(f"to_{c}") for c in ("centre", "team")), each_block.alias("to_block"))
+    sent = candidates.join(pairs, (F.col("centre") == F.col("to_centre")) & (F.col("block") == F.col("to_block"))).select("row", "vec_id", "v", "far", "to_centre", "to_block", "to_team")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _table([])
         return _table(list(_best(_Block(left, space, "near"), left.column("at_least").to_pylist(), _Block(right, space, "far"), space, k)))
 
-    key = ["centre", "block", "home", "part"]
+    key = ["centre", "block", "team"]
     scored = going.select("*", each_block).groupBy(*key).cogroup(sent.groupBy(*(f"to_{c}" for c in key))).applyInArrow(search, _FOUND)
     if report:
         return scored.groupBy("query_row", "query_id").agg(F.sum("evaluated").alias("n_evaluated")).drop("query_row")
