@@ -39,8 +39,8 @@ GRAM = 16
 OFFSETS = LENGTH - GRAM + 1
 RUN_BYTES = 8 << 20
 PIECE_BYTES = 1 << 18
-#: Bytes of input for each bucket of grams and part of the merge.
-PART_BYTES = 16 << 20
+#: Bytes of input for each bucket of grams and part of the merge: so small that a task which several of them hash to is small too.
+PART_BYTES = 4 << 20
 HASH_BITS = 48
 LANES = 512
 
