@@ -124,3 +124,72 @@ def test_exact_quantiles(spark):
     assert np.allclose(quantiles(df, "x", shares), np.quantile(xs, shares))
     assert at_ranks(df, "x", [0, 1500, 9999]) == (3000, [min(xs), sorted(xs)[1500], max(xs)])
     assert quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_model_objects(spark, tmp_path):
+    """Coverage of intervals, precision bounds that hold, records that only their own model accepts, and a saved copy."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidemark import model
+
+    rng = random.Random(8)
+    rows = [(x, z, 3 * x + rng.gauss(0, 0.1 + z), int(x + rng.gauss(0, 0.1) > 0.5)) for x, z in ((rng.random(), rng.random()) for _ in range(3000))]
+    df = spark.createDataFrame(rows, "x double, z double, y double, c int")
+    fitted = model.Regressor(["x", "z"], rounds=8, rate=0.4).fit(df, "y")
+    seen = fitted.interval(df).agg(F.avg(F.col("y").between(F.col("lower"), F.col("upper")).cast("double")), F.corr("z", F.col("upper") - F.col("lower"))).first()
+    assert seen[0] > 0.86 and seen[1] > 0.5
+    row = {"x": 0.9, "z": 0.2}
+    record = fitted.proof(row)
+    assert fitted.verify(record) and not fitted.verify(record | {"base": 5.0})
+    assert "x" in fitted.reason(row, 1.5)
+    fitted.save(spark, str(tmp_path / "m"))
+    again = model.Regressor.load(spark, str(tmp_path / "m"))
+    assert again.verify(record) and again.interval(df.limit(5)).collect() == fitted.interval(df.limit(5)).collect()
+    judge = model.Classifier(["x", "z"], rounds=5, rate=0.5).fit(df, "c")
+    found = judge.certify(df)
+    assert found.where("precision_low > 0.9").agg(F.avg((F.col("label") == F.col("c")).cast("double"))).first()[0] > 0.9
+    assert found.agg(F.avg(F.array_contains("labels", F.col("c")).cast("double"))).first()[0] > 0.86
+
+
+def test_boosting_is_the_plain_one(spark):
+    """Two rounds of squared loss against plain numpy over the same bins."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import boost
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.random((800, 2)), 2)
+    y = x[:, 0] * 2 + (x[:, 1] > 0.4) + rng.normal(scale=0.1, size=800)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
+    cuts = boost.edges(df, ["a", "b"], 16)
+    score = np.full(800, y.mean())
+
+    def grow(rows, depth, g):
+        best = (0.0, None, None)
+        for f, name in enumerate("ab"):
+            for t in cuts[name]:
+                left = rows & (x[:, f] <= t)
+                right = rows & ~left
+                if min(left.sum(), right.sum()) >= 20:
+                    part = lambda m: g[m].sum() ** 2 / (m.sum() + 1.0)
+                    gain = round(part(left) + part(right) - part(rows), 9)
+                    if gain > best[0]:
+                        best = (gain, f, t)
+        if not depth or best[1] is None:
+            score[rows] += 0.2 * -g[rows].sum() / (rows.sum() + 1.0)
+            return
+        left = rows & (x[:, best[1]] <= best[2])
+        grow(left, depth - 1, g)
+        grow(rows & ~left, depth - 1, g)
+
+    for _ in range(2):
+        grow(np.ones(800, dtype=bool), 2, score - y)
+    model = boost.fit(df, ["a", "b"], "y", rounds=2, depth=2, bins=16)
+    got = np.array([r["p"] for r in model.predict(df).select(F.col("prediction").alias("p")).collect()])
+    assert np.allclose(got, score, atol=1e-9)
+    many = boost.fit(df, ["a", "b"], "y", rounds=24, depth=2, bins=16, subsample=0.7, colsample=0.5, leaves=4)
+    raw = df.select(many.scores()[0].alias("p")).collect()
+    assert np.allclose([r["p"] for r in raw], [r["prediction"] for r in many.predict(df).collect()])

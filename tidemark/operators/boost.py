@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from tidemark.functions.expressions import logistic, softmax
 from tidemark.operators.cut import cut
 from tidemark.operators.predicates import tree_column
-from tidemark.operators.quantile import quantiles
 
 #: Rounds between cuts of the score table's lineage; trees a model scores as expressions, more are scored in Arrow batches.
 CUT_EVERY, EXPRESSIONS = 10, 20
@@ -318,7 +317,7 @@ def fit(
                     far = np.abs(shape.scores(block, list(trees))[0] - block["y"])[~block["valid"]]
                     yield pa.RecordBatch.from_arrays([pa.array(far)], names=["r"])
 
-            limit = quantiles(rows.mapInArrow(residuals, "r double"), "r", [huber])[0]
+            limit = rows.mapInArrow(residuals, "r double").agg(F.percentile_approx("r", huber, 100_000)).first()[0]
         growing: list[dict[int, tuple]] = [{} for _ in range(k)]
         if turn == rounds and valid is None:
             break

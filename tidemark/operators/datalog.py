@@ -146,6 +146,16 @@ def closure(rules: list[Rule], facts: dict[str, DataFrame]) -> dict[str, DataFra
     return known
 
 
+def region_rule(head: str, bounds: dict[str, tuple[float | None, float | None]]) -> Rule:
+    """head(X) for rows X in a region, a clause over facts row(X) and <column>(X, value): low < value <= high for each bounded column."""
+    body: list = [("row", "X")]
+    for k, (column, (low, high)) in enumerate(sorted(bounds.items())):
+        body.append((column, "X", f"V{k}"))
+        body += [("cmp", ">", f"V{k}", repr(float(low)))] if low is not None else []
+        body += [("cmp", "<=", f"V{k}", repr(float(high)))] if high is not None else []
+    return (head, "X"), body
+
+
 def prove(fact: Atom, rules: list[Rule], base: set[Atom], derived: set[Atom] | None = None) -> tuple | None:
     """A proof (fact, rule or "base", premises) of one fact from a small set of base facts, or None.
 

@@ -97,6 +97,27 @@ def decayed(df: DataFrame, entity: str, us: str, weights: dict[str, Column], tau
     return _running(batches, entity, us, list(weights), {t: tau * MICROS for t, tau in taus.items()}, block_us)
 
 
+def declarations(entity: str, weights: dict[str, float | None], taus: dict[str, float]) -> list[dict]:
+    """What each column of decayed() and bands() is: name, kind, channel, seconds of its scale, normalization and causal scope.
+
+    weights: the divisor of each marked channel, None for the one that counts events.
+    """
+    out = []
+    names = sorted(taus, key=taus.get)
+    for w, scale in weights.items():
+        kind = "count" if scale is None else "sum"
+        own = {"channel": entity if scale is None else w, "causal_scope": "strictly earlier time"} | ({} if scale is None else {"value_scale": float(scale), "normalization": "clip(value / value_scale, -8, 8), missing is 0"})
+        out += [{"name": f"{w}_{t}", "kind": f"decayed {kind}", "tau_seconds": float(taus[t])} | own for t in names]
+        out += [{"name": f"{w}_{b}_band", "kind": f"{kind} band", "tau_seconds": float(taus[b]), "shorter_tau_seconds": float(taus[a])} | own for a, b in zip(names, names[1:], strict=False)]
+    return out
+
+
+def declared(df: DataFrame, items: list[dict]) -> DataFrame:
+    """df with each declaration as its column's metadata."""
+    by = {x["name"]: x for x in items}
+    return df.select(*(F.col(c).alias(c, metadata=by[c]) if c in by else F.col(c) for c in df.columns))
+
+
 def bands(df: DataFrame, names: list[str]) -> DataFrame:
     """Adds <longer>_band = longer - shorter for neighbouring scales."""
     return df.withColumns({f"{b}_band": F.col(b) - F.col(a) for a, b in zip(names, names[1:], strict=False)})

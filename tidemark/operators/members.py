@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -236,6 +237,12 @@ def latin_hypercube(samples: int, dimensions: int, seed: int = 0) -> np.ndarray:
     return np.stack([(rng.permutation(samples) + 0.5) / samples for _ in range(dimensions)], axis=1)
 
 
+def normal_scenarios(samples: int, dimensions: int, seed: int = 0) -> np.ndarray:
+    """Standard normal draws whose every margin is one draw a stratum: the Latin hypercube through the inverse distribution."""
+    inverse = NormalDist().inv_cdf
+    return np.vectorize(inverse, otypes=[float])(latin_hypercube(samples, dimensions, seed)) if samples else np.zeros((0, dimensions))
+
+
 # Adapters.
 
 

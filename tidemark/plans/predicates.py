@@ -51,13 +51,13 @@ def interval_union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT l_suppkey AS region, 'f' || (l_linenumber % 3) AS feature, CASE WHEN l_orderkey % 2 = 0 THEN l_quantity / 10 END AS lo, CASE WHEN l_orderkey % 2 = 1 THEN 4.0 + l_quantity / 10 END AS hi FROM lineitem),
+WITH l AS (SELECT l_suppkey AS region, 'f' || (l_linenumber % 3) AS feature, CASE WHEN l_orderkey % 2 = 0 THEN l_quantity / 10 END AS lo, CASE WHEN l_orderkey % 2 = 1 THEN 2.0 + l_suppkey % 7 + l_quantity / 10 END AS hi FROM lineitem),
 c AS (SELECT region, feature, max(lo) AS lo, min(hi) AS hi FROM l GROUP BY ALL) SELECT region, feature, round(lo, 6) AS lo, round(hi, 6) AS hi FROM c WHERE region NOT IN (SELECT region FROM c WHERE lo >= hi)""")
 def region_conjunction_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF29: repeated literals of a region collapsed, empty regions gone."""
     line = load(spark, sf_dir, "lineitem")
     odd = F.col("l_orderkey") % 2 == 1
-    l = line.select(F.col("l_suppkey").alias("region"), F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("feature"), F.when(~odd, F.col("l_quantity") / 10).alias("lo"), F.when(odd, 4.0 + F.col("l_quantity") / 10).alias("hi"))  # noqa: E741
+    l = line.select(F.col("l_suppkey").alias("region"), F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("feature"), F.when(~odd, F.col("l_quantity") / 10).alias("lo"), F.when(odd, 2.0 + F.col("l_suppkey") % 7 + F.col("l_quantity") / 10).alias("hi"))  # noqa: E741
     return P.conjunctions(l, ["region"]).select("region", "feature", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
