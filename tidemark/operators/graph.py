@@ -28,12 +28,13 @@ def step(frontier: DataFrame, triples: DataFrame, rel: str) -> DataFrame:
 
 
 def reach(triples: DataFrame, sources: DataFrame, chains: list[tuple[str, ...]]) -> dict[tuple[str, ...], DataFrame]:
-    """For each chain its distinct (source, node); shared prefixes are one plan. sources has a column source."""
+    """For each chain its distinct (source, node); a prefix that several need is computed once and written out. sources has a column source."""
     done: dict[tuple[str, ...], DataFrame] = {(): sources.select("source", F.col("source").alias("node")).distinct()}
-    for chain in chains:
-        for k in range(1, len(chain) + 1):
-            if chain[:k] not in done:
-                done[chain[:k]] = step(done[chain[: k - 1]], triples, chain[k - 1])
+    prefixes = {c[:k] for c in chains for k in range(1, len(c) + 1)}
+    for p in sorted(prefixes, key=len):
+        found = step(done[p[:-1]], triples, p[-1])
+        uses = (p in chains) + sum(q[:-1] == p for q in prefixes)
+        done[p] = cut(found) if uses > 1 else found
     return {c: done[c] for c in chains}
 
 
@@ -165,8 +166,10 @@ def neighbourhood(triples: DataFrame, sources: DataFrame, rels: list[str], depth
 
 
 def dictionary(triples: DataFrame) -> DataFrame:
-    """node, id: dense ids of all nodes by name, dealt out by range."""
+    """node, id: dense ids of all nodes by name, dealt out by ranges of like sizes."""
     from tidemark.operators.prefix import numbered
 
     nodes = triples.select(F.explode(F.array("head", "tail")).alias("node")).distinct()
-    return numbered(nodes, [F.col("node")], F.substring("node", 1, 3), "id")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(nodes.repartitionByRange(parts, "node").withColumn("__range", F.spark_partition_id()))  # written, so that the ranges stay what they are
+    return numbered(ranged, [F.col("node")], F.col("__range"), "id").drop("__range")
