@@ -185,9 +185,7 @@ def causal_target(df: DataFrame, key: str, order: str, target: str, smooth: floa
     Prior: strictly smaller order value. The global mean is over all keys and start where nothing is earlier. block: a
     coarse, monotone function of order, by which the global prior is dealt out.
     """
-    per_key = collapse_ties(df, [key], order, n=F.count(target), s=F.sum(target))
-    w = prior_window([key], order)
-    own = per_key.select(key, order, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("kn"), F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias("ks"))
+    own = prior_totals(df, order, block, (key,), n=F.count(target), s=F.sum(target)).select(key, order, F.col("prior_n").alias("kn"), F.col("prior_s").alias("ks"))  # a hot key is dealt out by block too
     whole = prior_totals(df, order, block, n=F.count(target), s=F.sum(target))
     prior = F.when(F.col("prior_n") > 0, F.col("prior_s") / F.col("prior_n")).otherwise(F.lit(start))
     return own.join(whole, order).select(key, order, ((F.col("ks") + smooth * prior) / (F.col("kn") + smooth)).alias("encoded"))
@@ -200,8 +198,7 @@ def causal_gaussian(df: DataFrame, key: str, order: str, target: str, smooth: fl
     towards it with `smooth` rows and kept within a factor of 1000; the prior counts as smooth rows of that variance.
     """
     sums = {"n": F.count(target), "s": F.sum(target), "q": F.sum(F.col(target) * F.col(target))}
-    w = prior_window([key], order)
-    own = collapse_ties(df, [key], order, **sums).select(key, order, *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"k{c}") for c in "nsq"))
+    own = prior_totals(df, order, block, (key,), **sums).select(key, order, *(F.col(f"prior_{c}").alias(f"k{c}") for c in "nsq"))
     joined = own.join(prior_totals(df, order, block, **sums), order)
     n, s, q = (F.col(f"prior_{c}") for c in "nsq")
     mean = F.when(n > 0, s / n).otherwise(F.lit(0.0))
