@@ -89,9 +89,8 @@ def test_token_output(docs, rows):
     assert got == want
 
 
-def test_decontamination(docs, rows):
-    bench = [(1, text(random.Random(0), 40)), (2, rows[0][1]), (3, "Alpha béta"), (4, ""), (5, None), (6, rows[0][1]), (None, "in that in")]
-    bench += [(7, next(t for _, t in rows if t and len(t.split()) > 30))] * 2
+def plain_hits(rows, bench):
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row, window by window."""
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     windows = {}
     for i, t in bench:
@@ -109,6 +108,13 @@ def test_decontamination(docs, rows):
                     hit.update(range(k, k + n))
                     items |= table[tuple(w[k : k + n])]
         want.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return want
+
+
+def test_decontamination(docs, rows):
+    bench = [(1, text(random.Random(0), 40)), (2, rows[0][1]), (3, "Alpha béta"), (4, ""), (5, None), (6, rows[0][1]), (None, "in that in")]
+    bench += [(7, next(t for _, t in rows if t and len(t.split()) > 30))] * 2
+    want = plain_hits(rows, bench)
     b = docs.sparkSession.createDataFrame(bench, "item_id long, text string")
     for pass_bytes in (1 << 20, 100):
         got = decontaminate.contamination(docs, b, pass_bytes=pass_bytes)
@@ -511,18 +517,8 @@ def test_quality_held_out(spark):
     assert sum(clean) < 0.01 * len(clean)
 
 
-def test_quality_posteriors_are_the_plain_ones(spark):
-    """Site rates and posteriors against numpy, over a few hosts with many and with few documents, by both ways to join."""
-    rng = random.Random(31)
-    bad = ["scum", "spam", "junk"]
-    rows = []
-    for k in range(900):
-        source, lang = rng.choice(["a", "a", "a", "b", "c", None, f"rare{rng.randrange(60)}"]), rng.choice(["en", "de", None])
-        worse = rng.random() < {"a": 0.1, "b": 0.6}.get(source, 0.3)
-        rows.append((k, rng.choice([None, ""]) if k % 50 == 0 else text(rng, 30) + (" " + rng.choice(bad) if worse else ""), lang, source, int(not worse), int(worse and rng.random() < 0.5)))
-    docs = spark.createDataFrame([(k, t, lang, s, 0) for k, t, lang, s, _, _ in rows], DOCS).repartition(4)
-    labels = spark.createDataFrame([(k, q, x) for k, _, _, _, q, x in rows if k % 2], "doc_id long, quality int, toxic int")
-    model = quality.fit(docs, labels)
+def plain_posteriors(model, rows):
+    """By head the (site rates, posteriors) of rows (id, text, lang, source, ...), in numpy."""
     evidence = np.stack(model.evidence([(r[1] or "").encode() for r in rows]), axis=1)
     evidence[[not r[1] for r in rows]] = 0
     paths, hosts = [(r[3], r[2]) for r in rows], [r[3] for r in rows]
@@ -552,6 +548,22 @@ def test_quality_posteriors_are_the_plain_ones(spark):
         rate = {k: min(max((b + m * host_rate[k[0]]) / (n + m), 1e-4), 1 - 1e-4) for k, (n, b) in by_path.items()}
         r = np.array([rate[p] for p in paths])
         want.append((r, 1 / (1 + np.exp(-(np.log(r / (1 - r)) + evidence[:, h])))))
+    return want
+
+
+def test_quality_posteriors_are_the_plain_ones(spark):
+    """Site rates and posteriors against numpy, over a few hosts with many and with few documents, by both ways to join."""
+    rng = random.Random(31)
+    bad = ["scum", "spam", "junk"]
+    rows = []
+    for k in range(900):
+        source, lang = rng.choice(["a", "a", "a", "b", "c", None, f"rare{rng.randrange(60)}"]), rng.choice(["en", "de", None])
+        worse = rng.random() < {"a": 0.1, "b": 0.6}.get(source, 0.3)
+        rows.append((k, rng.choice([None, ""]) if k % 50 == 0 else text(rng, 30) + (" " + rng.choice(bad) if worse else ""), lang, source, int(not worse), int(worse and rng.random() < 0.5)))
+    docs = spark.createDataFrame([(k, t, lang, s, 0) for k, t, lang, s, _, _ in rows], DOCS).repartition(4)
+    labels = spark.createDataFrame([(k, q, x) for k, _, _, _, q, x in rows if k % 2], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    want = plain_posteriors(model, rows)
     for told in (1000, 0):
         got = {r["doc_id"]: r for r in quality.classified(docs, labels, told_sites=told).collect()}
         assert len(got) == len(rows)
@@ -592,18 +604,28 @@ def test_empty_tables(empty, spark):
 
 
 def test_pipeline(spark):
+    """run() against a plain version of every stage: posteriors in numpy, all pairs of texts, all windows, the library's ids."""
     import corpus_pipeline
 
     path = "/root/testdata/sf0.001"
-    documents = spark.read.parquet(f"{path}/documents.parquet")
-    docs = documents
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, path)
-        assert out.columns == documents.columns, name
-        kept = out.collect()
-        assert len(kept) <= docs.count()
-        docs = spark.createDataFrame(kept, T.StructType(documents.schema.fields))
-    want = {r["doc_id"]: hashlib.sha256(",".join(map(str, tokenizer(BYTE).encode(r["text"], add_special_tokens=False).ids)).encode()).hexdigest() for r in docs.collect()}
+    documents, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in documents.collect()]
+    sizes = [len(rows)]
+    posteriors = plain_posteriors(quality.fit(documents, labels), rows)
+    rows = [r for k, r in enumerate(rows) if max(p[k] for _, p in posteriors) <= 0.5]
+    sizes.append(len(rows))
+    rows.sort()
+    rows = [rows[k] for k in sorted(set(near_groups([r[1] for r in rows])))]
+    sizes.append(len(rows))
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    bad = {h[0] for h in plain_hits([r[:2] for r in rows], bench) if h[-1]}
+    rows = [r for r in rows if r[0] not in bad]
+    sizes.append(len(rows))
+    assert sizes == sorted(set(sizes), reverse=True)  # every stage takes some, none takes all
+    want = {}
+    for d, t, _, _ in rows:
+        ids = tokenizer(BYTE).encode(pii.mask(t or "", pii._found([t or ""])[0][1]), add_special_tokens=False).ids
+        want[d] = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert {r["doc_id"]: r["ids_sha256"] for r in corpus_pipeline.run(spark, path).collect()} == want
 
 
