@@ -193,3 +193,11 @@ def test_boosting_is_the_plain_one(spark):
     many = boost.fit(df, ["a", "b"], "y", rounds=24, depth=2, bins=16, subsample=0.7, colsample=0.5, leaves=4)
     raw = df.select(many.scores()[0].alias("p")).collect()
     assert np.allclose([r["p"] for r in raw], [r["prediction"] for r in many.predict(df).collect()])
+
+
+def test_focus_groups_keep_the_top_and_spread():
+    from tidemark.operators.members import focus_groups
+
+    assert focus_groups(list("abc"), 5) == list("abc")
+    assert focus_groups(list(range(20)), 6) == [0, 1, 2, 3, 11, 19]
+    assert focus_groups(list(range(9)), 1) == [0]

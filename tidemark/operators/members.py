@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 from itertools import combinations
@@ -268,3 +269,34 @@ def logit_member(df: DataFrame, features: list[str], target: str, strength: floa
 def ranks(df: DataFrame, value: str, block: Column) -> DataFrame:
     """value, rank: rows with a smaller value; block deals the running count out."""
     return prior_totals(df, value, block, n=F.count(F.lit(1))).select(value, F.col("prior_n").alias("rank"))
+
+
+# Screens.
+
+
+def focus_groups(ranked: list, limit: int) -> list:
+    """Of a list by falling signal: the first half of the limit from its top, the others evenly spaced over the rest, in order."""
+    if len(ranked) <= limit:
+        return list(ranked)
+    top = (limit + 1) // 2
+    rest, more = ranked[top:], limit - top
+    spaced = sorted({int(x) for x in np.linspace(0, len(rest) - 1, more)}) if more else []
+    return [*ranked[:top], *(rest[i] for i in spaced)]
+
+
+def screened_bits(df: DataFrame, bits: list[str], y: str, limit: int | None = None) -> list[str]:
+    """Binary columns to search over: three quarters of the limit by association with y, the others by a hash of their names.
+
+    The limit is the root of 75 million over the rows, 512 at most and one at least, unless given. Association: half the
+    difference of y's mean inside and outside the column; one aggregate over all columns.
+    """
+    target = F.col(y).cast("double")
+    inside = [F.avg(F.when(F.col(b) == 1, target)) - F.avg(F.when(F.col(b) == 0, target)) for b in bits]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.abs(x) / 2, F.lit(0.0)).alias(f"a{k}") for k, x in enumerate(inside))).first()
+    most = max(1, min(512, int(math.sqrt(75e6 / max(row["n"], 1))))) if limit is None else limit
+    if len(bits) <= most:
+        return list(bits)
+    ranked = sorted(range(len(bits)), key=lambda k: (-round(row[f"a{k}"], 12), bits[k]))
+    strongest = ranked[: (3 * most + 3) // 4]
+    others = sorted(set(ranked) - set(strongest), key=lambda k: hashlib.md5(bits[k].encode()).hexdigest())
+    return [bits[k] for k in sorted([*strongest, *others[: most - len(strongest)]])]

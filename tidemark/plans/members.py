@@ -11,6 +11,7 @@ from tidemark.operators import proofs
 from tidemark.plans.predicates import TREES
 from tidemark.plans.registry import load, query
 
+_BITS = {f"v{t}": f"value > {t}" for t in (10, 20, 30, 40, 60, 90)} | {f"u{k}": f"user_id % {k} = 0" for k in (2, 3, 5)} | {f"t_{t}": f"event_type = '{t}'" for t in ("view", "click", "purchase")}
 _P_SQL = "p AS (SELECT event_id, user_id, (value > 40)::INT AS y, round(1 / (1 + exp(-(value - 50) / 50)), 3) AS b, round(1 / (1 + exp(-(value - 40 + user_id % 11) / 20)), 3) AS c FROM events)"
 
 
@@ -145,3 +146,14 @@ def proof_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["l_orderkey", "score", "sha256", "verified", "reason"])
 
     return rows.mapInPandas(run, "l_orderkey long, score double, sha256 string, verified boolean, reason string")
+
+
+_SCREEN_SQL = " UNION ALL ".join(f"SELECT '{name}' AS bit, md5('{name}') AS h, coalesce(abs(avg(y) FILTER (b) - avg(y) FILTER (NOT b)) / 2, 0) AS a FROM (SELECT ({test}) AS b, (value > 50 AND user_id % 2 = 0)::INT::DOUBLE AS y FROM events)" for name, test in _BITS.items())
+
+
+@query(f"WITH a AS ({_SCREEN_SQL}), r AS (SELECT *, row_number() OVER (ORDER BY round(a, 12) DESC, bit) AS k FROM a), o AS (SELECT bit, row_number() OVER (ORDER BY h) AS k FROM r WHERE k > 6) SELECT bit FROM r WHERE k <= 6 UNION ALL SELECT bit FROM o WHERE k <= 2")
+def bit_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SL6: which binary columns a search looks at, strongest ones and some by hash."""
+    e = load(spark, sf_dir, "events")
+    bits = e.select(*(F.expr(test).cast("int").alias(name) for name, test in _BITS.items()), F.expr("value > 50 and user_id % 2 = 0").cast("int").alias("y"))
+    return spark.createDataFrame([(b,) for b in M.screened_bits(bits, list(_BITS), "y", 8)], "bit string")

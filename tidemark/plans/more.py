@@ -85,7 +85,7 @@ WITH l AS (SELECT (event_id // 2500)::INT AS round, event_type, -ln(greatest(1 /
 m AS (SELECT round, event_type, sum(w * loss) / sum(w) AS mean, sqrt((sum(w * loss * loss) / sum(w) - (sum(w * loss) / sum(w)) ** 2) * sum(w * w)) / sum(w) AS se FROM l GROUP BY ALL)
 SELECT round, event_type, round(mean, 6) AS mean, round(se, 6) AS se, round(mean - lag(mean) OVER (PARTITION BY event_type ORDER BY round), 6) AS change FROM m""")
 def loss_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML32, ML50: weighted class losses with standard errors, and their change from round to round."""
+    """ML50: weighted class losses with standard errors, and their change from round to round."""
     p = X.logistic((F.col("value") - 50) / 50)
     rows = load(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 2500).cast("int").alias("round"), "event_type", (-F.ln(F.greatest(p, F.lit(1e-15)))).alias("loss"), (1.0 + F.col("user_id") % 3).alias("w"))
     mean = F.sum(F.col("w") * F.col("loss")) / F.sum("w")
@@ -99,7 +99,7 @@ def loss_dynamics(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH t AS (SELECT l_quantity AS q, l_discount AS d, l_tax AS t, (l_returnflag = 'R')::INT AS y FROM lineitem), u AS (SELECT 'q' AS feature, q AS v, y FROM t UNION ALL SELECT 'd', d, y FROM t UNION ALL SELECT 't', t, y FROM t)
 SELECT feature, round(abs(avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0)) / stddev_pop(v), 6) AS separation FROM u GROUP BY feature""")
 def wide_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SL5, SL7, ML49: how far class means of each column stand apart, from one aggregate."""
+    """SL7: how far class means of each column stand apart, from one aggregate."""
     t = load(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), (F.col("l_returnflag") == "R").alias("y"))
     one = lambda c: F.struct(F.lit(c).alias("feature"), (F.abs(F.avg(F.when(F.col("y"), F.col(c))) - F.avg(F.when(~F.col("y"), F.col(c)))) / F.stddev_pop(c)).alias("separation"))
     return t.agg(F.array(*(one(c) for c in "qdt")).alias("a")).select(F.explode("a").alias("x")).select("x.feature", F.round("x.separation", 6).alias("separation"))
