@@ -89,6 +89,14 @@ def test_token_output(docs, rows):
     assert got == want
 
 
+def test_single_documents_are_read_alone(docs, rows, spark, tmp_path):
+    path = str(tmp_path / "shards")
+    token_output.token_output(docs, BYTE, path=path).count()
+    some = [d for d, _ in rows if d is not None][:5]
+    got = sorted((r["doc_id"], r["ids"]) for r in token_output.read_documents(spark, path, some).collect())
+    assert got == sorted((d, tokenizer(BYTE).encode(t or "", add_special_tokens=False).ids + [2]) for d, t in rows if d in some)
+
+
 def plain_hits(rows, bench):
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row, window by window."""
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")

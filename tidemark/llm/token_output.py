@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import parallelism, piece_encoder, shared_dir, slices, tokenizer
@@ -119,6 +119,22 @@ def read_index(docs: DataFrame, path: str) -> DataFrame:
     return found.join(base, "shard").select("doc_id", (F.col("base") + F.col("in_shard")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, ids of the named documents of a shard set; only blocks that hold one are unpacked, and of these only its ids."""
+    wanted, named = sorted(set(doc_ids)), set(doc_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ends = [0, *row["doc_ends"]]
+                mine = [k for k, d in enumerate(row["doc_ids"]) if d in named]
+                ids = [unpack(row["payload"], row["width"], ends[k], ends[k + 1] - ends[k]).tolist() for k in mine]
+                yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k] for k in mine], pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    held = spark.read.schema(BLOCKS).parquet(path).where(F.arrays_overlap("doc_ids", F.array(*(F.lit(d).cast("long") for d in wanted))))
+    return held.mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Writes the shard set (to a new shared folder unless path says otherwise) and returns its index, read from the files.
 
