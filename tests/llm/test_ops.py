@@ -182,9 +182,12 @@ def test_front_coding_round_trip():
         rows[k, :n] = rng.integers(97, 99, n)
     order = np.argsort(suffix_dedup._strings(rows), kind="stable")
     rows, sizes = rows[order], sizes[order]
-    shared, rest = suffix_dedup.front_code(rows, sizes)
+    shared, (rest,) = suffix_dedup.front_code(rows, sizes)
     assert (suffix_dedup.front_decode(shared, sizes, rest, 56) == rows).all()
     assert len(rest) < sizes.sum()
+    shared, rests = suffix_dedup.front_code(rows, sizes, np.array([0, 10, 11, 200]))
+    assert (suffix_dedup.front_decode(shared, sizes, b"".join(rests), 56) == rows).all()
+    assert (suffix_dedup.front_decode(shared[11:200], sizes[11:200], rests[2], 56) == rows[11:200]).all()
 
 
 def test_token_counts(docs, rows):

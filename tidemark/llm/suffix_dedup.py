@@ -39,8 +39,8 @@ GRAM = 16
 OFFSETS = LENGTH - GRAM + 1
 RUN_BYTES = 8 << 20
 PIECE_BYTES = 1 << 18
-#: Bytes of input for each bucket of grams and part of the merge: so small that a task which several of them hash to is small too.
-PART_BYTES = 4 << 20
+#: Bytes of input for each bucket of grams and part of the merge.
+PART_BYTES = 16 << 20
 HASH_BITS = 48
 LANES = 512
 
@@ -266,15 +266,18 @@ def _context(data: np.ndarray, place: np.ndarray, step: int, sizes: np.ndarray,
     return out
 
 
-def front_code(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Prefix lengths shared with the row before, and the rest of each row's bytes on end."""
+def front_code(rows: np.ndarray, sizes: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, list[bytes]]:
+    """Prefix lengths shared with the row before, and for each stretch of rows (from starts on; default: all) the rest of its rows' bytes on end."""
     shared = np.zeros(len(rows), dtype=np.int64)
     if len(rows) > 1:
         differ = rows[1:] != rows[:-1]
         shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
     shared = np.minimum(shared, sizes)
+    edges = [0] if starts is None else starts.tolist()
+    shared[[k for k in edges if k < len(rows)]] = 0
     column = np.arange(rows.shape[1])
-    return shared, rows[(column >= shared[:, None]) & (column < sizes[:, None])].tobytes()
+    own = (column >= shared[:, None]) & (column < sizes[:, None])
+    return shared, [rows[s:e][own[s:e]].tobytes() for s, e in zip(edges, [*edges[1:], len(rows)], strict=True)]
 
 
 def front_decode(shared: np.ndarray, sizes: np.ndarray, rest: bytes, width: int) -> np.ndarray:
@@ -299,14 +302,15 @@ def _send(parts: int):
             part = bucket_of(e.gram, parts)
             order = np.argsort(part, kind="stable")  # within a part they stay sorted
             edges = np.searchsorted(part[order], np.arange(parts + 1))
-            for k in range(parts):
-                mine = order[edges[k] : edges[k + 1]]
-                if not len(mine):
-                    continue
-                right_shared, right_rest = front_code(e.right[mine], LENGTH - e.low[mine])
-                left_shared, left_rest = front_code(e.left[mine], e.high[mine])
-                small = np.stack([right_shared, left_shared, e.low[mine], e.high[mine]]).astype(np.uint8)
-                out.append((k, r["run"], len(mine), _squeeze(small.tobytes()), _squeeze(right_rest), _squeeze(left_rest), _shuffled(e.doc[mine])))
+            used = np.flatnonzero(np.diff(edges))
+            starts = edges[used]
+            right_shared, right_rest = front_code(e.right[order], LENGTH - e.low[order], starts)
+            left_shared, left_rest = front_code(e.left[order], e.high[order], starts)
+            small = np.stack([right_shared, left_shared, e.low[order], e.high[order]]).astype(np.uint8)
+            docs = e.doc[order]
+            for i, k in enumerate(used.tolist()):
+                mine = slice(edges[k], edges[k + 1])
+                out.append((k, r["run"], mine.stop - mine.start, _squeeze(small[:, mine].tobytes()), _squeeze(right_rest[i]), _squeeze(left_rest[i]), _shuffled(docs[mine])))
         names = ["part", "run", "n", "small", "rights", "lefts", "docs"]
         types = [pa.int64()] * 3 + [pa.binary()] * 4
         return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(names, types, strict=True))})
@@ -350,7 +354,8 @@ def merge_runs(rows: np.ndarray, run_starts: np.ndarray, run_ends: np.ndarray, s
     words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
     if runs == 1 or not n:
         return np.arange(n), shared.copy()
-    lanes = max(1, min(lanes, n // (4 * runs) or 1))
+    # A lane costs its trees' set-up over all runs, a step costs its calls however few lanes there are: balanced by both.
+    lanes = max(1, min(lanes, n // 8 or 1, int((500 * n * runs.bit_length() / runs) ** 0.5)))
     # Splitters: every so-manieth row of a sample; a row's slice is settled by its own bytes, so equal rows stay together.
     sample = np.sort(_strings(rows[:: max(1, n // (lanes * 16))]))
     cuts = sample[(np.arange(1, lanes) * len(sample)) // lanes] if lanes > 1 else sample[:0]
@@ -448,23 +453,18 @@ def window_masks(rows: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.n
 def _merge(t: pa.Table) -> pa.Table:
     """A part's masks, for each run in the order of its entries."""
     parts = sorted(t.to_pylist(), key=lambda r: r["run"])
-    rights, lefts, lows, highs, docs, shares = [], [], [], [], [], []
-    for r in parts:
-        small = np.frombuffer(_expand(r["small"]), dtype=np.uint8).reshape(4, -1).astype(np.int64)
-        rights.append(front_decode(small[0], LENGTH - small[2], _expand(r["rights"]), 56))
-        lefts.append(front_decode(small[1], small[3], _expand(r["lefts"]), 40))
-        shares.append(small[0])
-        lows.append(small[2])
-        highs.append(small[3])
-        docs.append(_unshuffled(r["docs"], "<i8", r["n"]))
+    # A run's first row shares nothing with the one before, so all runs are decoded at once.
+    small = np.concatenate([np.frombuffer(_expand(r["small"]), dtype=np.uint8).reshape(4, -1) for r in parts], axis=1).astype(np.int64)
+    right_shared, left_shared, low, high = small
+    rows = front_decode(right_shared, LENGTH - low, b"".join(_expand(r["rights"]) for r in parts), 56)
+    left = front_decode(left_shared, high, b"".join(_expand(r["lefts"]) for r in parts), 40)
+    docs = np.concatenate([_unshuffled(r["docs"], "<i8", r["n"]) for r in parts])
     sizes = np.array([r["n"] for r in parts], dtype=np.int64)
     ends = np.cumsum(sizes)
-    rows, low = np.concatenate(rights), np.concatenate(lows)
     # Rows are padded with zeros, so what two of them share can go past the shorter one's end: see it whole.
-    shared = np.concatenate(shares)
-    whole = _padded_prefixes(rows, shared, ends - sizes)
+    whole = _padded_prefixes(rows, right_shared, ends - sizes)
     order, prefix = merge_runs(rows, ends - sizes, ends, whole)
-    masks = window_masks(rows, np.concatenate(lefts), low, np.concatenate(highs), np.concatenate(docs), order, prefix)
+    masks = window_masks(rows, left, low, high, docs, order, prefix)
     return pa.table({"run": pa.array([r["run"] for r in parts], pa.int64()), "part": pa.array([r["part"] for r in parts], pa.int64()), "n": pa.array(sizes, pa.int64()), "masks": pa.array([_shuffled(x) for x in np.split(masks, ends[:-1])], pa.binary())})
 
 
