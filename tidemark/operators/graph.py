@@ -106,22 +106,34 @@ def meet_in_the_middle(triples: DataFrame, sources: DataFrame, chain: tuple[str,
 
 
 def path_counts(triples: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
-    """chain, paths: number of relation paths (not distinct ends) that link the given (head, tail) pairs."""
+    """chain, paths: number of relation paths (not distinct ends) that link the given (head, tail) pairs.
+
+    Paths go on only at nodes from which a tail can be reached in the steps left, and the last step is a join on both its ends.
+    """
     hop = triples.select(F.col("head").alias("node"), "rel", F.col("tail").alias("next"))
-    now = pairs.select("head", "tail", F.col("head").alias("node"), F.lit("").alias("chain"), F.lit(1).cast("long").alias("paths"))
+    to = lambda nodes: hop.join(nodes.select(F.col("node").alias("__to")), F.col("next") == F.col("__to"), "left_semi")
+    near = [cut(pairs.select(F.col("tail").alias("node")).distinct())]  # near[j]: a tail is j steps away
+    for _ in range(longest - 1):
+        near.append(cut(to(near[-1]).select("node").distinct()))
+    now = cut(pairs.select("head", "tail", F.col("head").alias("node"), F.lit("").alias("chain"), F.lit(1).cast("long").alias("paths")))
+    label = F.when(F.col("chain") == "", F.col("rel")).otherwise(F.concat("chain", F.lit(ARROW), "rel")).alias("chain")
     out = None
-    for _ in range(longest):
-        label = F.when(F.col("chain") == "", F.col("rel")).otherwise(F.concat("chain", F.lit(ARROW), "rel"))
-        now = cut(now.join(hop, "node").groupBy("head", "tail", F.col("next").alias("node"), label.alias("chain")).agg(F.sum("paths").alias("paths")))
-        hit = now.where("node = tail").groupBy("chain").agg(F.sum("paths").alias("paths"))
+    for k in range(1, longest + 1):
+        last = to(near[0]).withColumnRenamed("next", "tail")
+        hit = now.join(last, ["node", "tail"]).groupBy(label).agg(F.sum("paths").alias("paths"))
         out = hit if out is None else out.unionByName(hit)
+        if k < longest:
+            useful = near[1]
+            for x in near[2 : longest - k + 1]:
+                useful = useful.unionByName(x)
+            now = cut(now.join(to(useful), "node").groupBy("head", "tail", F.col("next").alias("node"), label).agg(F.sum("paths").alias("paths")))
     return out
 
 
 def chain_quality(triples: DataFrame, chains: list[tuple[str, ...]], positives: DataFrame) -> DataFrame:
     """chain, derived, hits, precision, recall of each chain's pairs against positives(head, tail)."""
     total = F.broadcast(positives.select("head", "tail").distinct().agg(F.count(F.lit(1)).alias("P")))
-    heads = triples.select(F.col("head").alias("source")).distinct()
+    heads = triples.where(F.col("rel").isin(sorted({c[0] for c in chains}))).select(F.col("head").alias("source")).distinct()
     parts = []
     for c, pairs in reach(triples, heads, chains).items():
         marked = pairs.join(positives.select(F.col("head").alias("source"), F.col("tail").alias("node"), F.lit(1).alias("hit")).distinct(), ["source", "node"], "left")
