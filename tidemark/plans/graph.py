@@ -63,8 +63,15 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN5-JN7: an n-ary equi-join with side conditions and a computed term."""
     s, n, c = (load(spark, sf_dir, t) for t in ("supplier", "nation", "customer"))
-    joined = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(c, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("s_acctbal") > F.col("c_acctbal")) & (F.col("s_suppkey") != F.col("c_custkey")))
-    return joined.select("s_suppkey", "n_name", "c_custkey", F.round(F.col("s_acctbal") - F.col("c_acctbal"), 2).alias("difference"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, parts // 4)  # a nation's customers are dealt out over so many, its suppliers go to each
+    named = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "s_acctbal", "n_name", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("sb"))
+    dealt = c.select("c_custkey", "c_nationkey", "c_acctbal", F.coalesce(F.pmod(F.xxhash64("c_custkey"), F.lit(blocks)), F.lit(0)).cast("int").alias("cb"))
+    left, right = named.repartition(parts, "s_nationkey", "sb").hint("shuffle_hash"), dealt.repartition(parts, "c_nationkey", "cb")
+    joined = right.join(left, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("cb") == F.col("sb")) & (F.col("s_acctbal") > F.col("c_acctbal")) & (F.col("s_suppkey") != F.col("c_custkey")))
+    gap = F.col("s_acctbal") - F.col("c_acctbal")  # positive, or not a number
+    rounded = F.when(gap < 1e13, F.floor(gap * 100 + 0.5) / 100).otherwise(F.round(gap, 2))  # like SQL's, and without decimals
+    return joined.select("s_suppkey", "n_name", "c_custkey", rounded.alias("difference"))
 
 
 @query(f"WITH {_TRIPLES_SQL} SELECT rel, count(*) AS n, count(DISTINCT head) AS heads FROM (SELECT * FROM t UNION ALL SELECT rel || '_inv', tail, head FROM t) GROUP BY rel")
