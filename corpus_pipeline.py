@@ -30,11 +30,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more) exactly one row stays.
 
+    Operator 6's fingerprints and Golay keys link first, each link verified by that similarity; an exact join finds the rest.
     Groups are the components of such pairs of rows, whatever their doc_id; texts without a word are copies of each other.
     The row with the smallest doc_id stays, one without a doc_id only if no other has one; rows of one doc_id are told
     apart by a hash of all their columns.
     """
-    docs, own = _aside(docs, (near_copies.ROW, near_copies.NODE, near_copies.SIZE, near_copies.CELL, "component"))
+    docs, own = _aside(docs, (near_copies.ROW, near_copies.NODE, near_copies.SIZE, near_copies.CELL, near_copies.PRINT, "component"))
     known = near_copies.marked(docs)
     named = known.join(near_copies.near_components(known).withColumnRenamed("node", near_copies.NODE), near_copies.NODE, "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*columns(docs)).alias("hash"), F.col(near_copies.ROW).alias("row"))

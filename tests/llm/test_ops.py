@@ -696,6 +696,53 @@ def test_near_dedup_finds_all_pairs(spark):
     assert corpus_pipeline.keep_one_of_each_group(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_dedup_starts_from_simhash(spark, monkeypatch):
+    import corpus_pipeline
+    from tidemark.llm import near_copies
+
+    texts = [t for t in near_texts(4) if t and len(t.split()) > 5]
+    texts += [" ".join(f"{c}{i}" if i != k else "new" for i in range(900)) for c in "ab" for k in (-1, 0, 450, 899)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).repartition(5)
+    seen, pairs = [], near_copies.simhash_pairs
+    monkeypatch.setattr(near_copies, "simhash_pairs", lambda reps: seen.append((reps, pairs(reps))) or seen[-1][1])
+    corpus_pipeline.keep_one_of_each_group(spark, docs, "").count()
+    prints = {near_copies._node(near_copies.hashes(t)): simhash_dedup.majority(near_copies.hashes(t)) for t in texts}
+    [(reps, links)] = seen
+    assert {r["node"]: r["print"] % (1 << 64) for r in reps.collect()} == prints
+
+    def parts(edges):
+        root = {x: x for x in prints}
+        for a, b in edges:
+            old, new = sorted((root[a], root[b]), reverse=True)
+            root = {x: new if r == old else r for x, r in root.items()}
+        return root
+
+    got = [tuple(r) for r in links.collect()]
+    assert all((prints[a] ^ prints[b]).bit_count() <= 3 for a, b in got)
+    want = parts((a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 3)
+    assert parts(got) == want
+    assert len(set(want.values())) < len(prints) - 6
+
+
+def test_near_dedup_makes_no_squares(spark, monkeypatch):
+    import corpus_pipeline
+    from tidemark.llm import near_copies
+
+    rng = random.Random(8)  # 182 words, two changed in each: nearly all pairs are just below 0.8, and their cells do not tell
+    texts = []
+    for k in range(300):
+        words = [f"w{i}" for i in range(182)]
+        for at in rng.sample(range(5, 177, 6), 2):
+            words[at] = f"new{k}-{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).repartition(5)
+    made, durable = [], near_copies.durable
+    monkeypatch.setattr(near_copies, "durable", lambda df: made.append(durable(df)) or made[-1])
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(near_groups(texts)))
+    assert sum(df.count() for df in made if df.columns == ["a", "b"]) < 15 * len(texts)
+
+
 def test_prefixes_meet():
     from tidemark.llm import near_copies
 

@@ -70,6 +70,14 @@ def bucket_keys(prints: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, axis=1)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """SimHash of a text's word shingles, repeats included; A-Z are lower-cased, words end at ASCII white space."""
     found = text.encode().lower().split() if text else []
@@ -78,12 +86,7 @@ def fingerprint(text: str | None, words: int) -> int:
     if len(found) <= words:
         return xxhash.xxh64_intdigest(b" ".join(found), SEED)
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
-    n = len(found) - words + 1
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), dtype=np.uint64, count=n)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), dtype=np.uint64, count=len(found) - words + 1))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
