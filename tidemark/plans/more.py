@@ -29,7 +29,7 @@ _LEAVES = "l AS (SELECT event_id AS id, (value > 30)::INT || '' AS n1, (value >
 
 def _leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, mid = (F.col("value") > 30).cast("int").cast("string"), (F.col("user_id") % 3).cast("string")
-    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), top.alias("n1"), F.concat_ws("/", top, mid).alias("n2"), F.concat_ws("/", top, mid, "event_type").alias("n3"), (F.col("event_id") % 4 == 0).cast("int").alias("y"))
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), top.alias("n1"), F.concat(top, F.lit("/"), mid).alias("n2"), F.concat(top, F.lit("/"), mid, F.lit("/"), "event_type").alias("n3"), (F.col("event_id") % 4 == 0).cast("int").alias("y"))
 
 
 @query(f"""WITH {_LEAVES}, p AS (SELECT avg(y) AS p0 FROM l), a AS (SELECT n1, (sum(y) + 2 * any_value(p0)) / (count(*) + 2.0) AS p1 FROM l, p GROUP BY n1), b AS (SELECT n2, (sum(y) + 2 * any_value(p1)) / (count(*) + 2.0) AS p2 FROM l JOIN a USING (n1) GROUP BY n2)
@@ -42,7 +42,7 @@ def path_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = lambda c: Window.partitionBy(c)
     rate = lambda c, parent: (F.sum("s").over(w(c)) + 2 * F.col(parent)) / (F.sum("n").over(w(c)) + 2)
     down = counts.crossJoin(total).withColumn("p1", rate("n1", "p0")).withColumn("p2", rate("n2", "p1"))
-    return down.select("n3", F.round((F.col("s") + 2 * F.col("p2")) / (F.col("n") + 2), 9).alias("posterior"), "n")
+    return down.where("n2 is not null").select("n3", F.round((F.col("s") + 2 * F.col("p2")) / (F.col("n") + 2), 9).alias("posterior"), "n")
 
 
 @query(f"""WITH {_LEAVES}, f AS (SELECT id, unnest(['n1=' || n1, 'n2=' || n2, 'n3=' || n3]) AS fact FROM l), w AS (SELECT fact, ln(1 + (SELECT count(*) FROM l) / count(*)::DOUBLE) AS w FROM f GROUP BY fact),
