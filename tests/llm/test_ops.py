@@ -743,6 +743,70 @@ def test_near_dedup_makes_no_squares(spark, monkeypatch):
     assert sum(df.count() for df in made if df.columns == ["a", "b"]) < 15 * len(texts)
 
 
+def just_apart(n):
+    """Texts of 182 words, two changed in each: nearly all pairs are just below 0.8, and their cells do not tell."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(n):
+        words = [f"w{i}" for i in range(182)]
+        for at in rng.sample(range(5, 177, 6), 2):
+            words[at] = f"new{k}-{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_near_dedup_deals_a_set_out_once(spark, monkeypatch):
+    import corpus_pipeline
+    from tidemark.llm import near_copies
+
+    texts = just_apart(150)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).repartition(5)
+    want = sorted(set(near_groups(texts)))
+    made, durable = [], near_copies.durable
+    monkeypatch.setattr(near_copies, "durable", lambda df: made.append(durable(df)) or made[-1])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == want
+    members = [df for df in made if df.columns[0] == "list" and df.columns[-1] == "joined"][-1]
+    assert 100 < members.count() <= len(texts)
+    for name, most in (("GROUP_NODES", 9), ("GROUP_BYTES", 9 * 8 * 170)):  # larger groups go by lists, with the same rows
+        made.clear()
+        with monkeypatch.context() as m:
+            m.setattr(near_copies, name, most)
+            assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == want
+        assert [df for df in made if df.columns[0] == "list" and df.columns[-1] == "joined"][-1].count() > 2 * len(texts)
+
+
+def test_near_dedup_deals_out_few_other_texts(spark, monkeypatch):
+    from tidemark.llm import near_copies
+
+    docs = spark.range(5000).select(F.col("id").alias(near_copies.ROW), F.col("id").cast("string").alias("text"))
+    rows = spark.range(0, 5000, 500).select(F.col("id").alias(near_copies.ROW))
+    wanted = near_copies._wanted(docs, rows)
+    assert wanted.columns == docs.columns
+    assert sorted(r["text"] for r in wanted.collect()) == sorted(str(k) for k in range(0, 5000, 500))
+    monkeypatch.setattr(near_copies, "WANTED_BITS", 64)
+    got = {r[near_copies.ROW] for r in near_copies._wanted(docs, rows).collect()}
+    assert set(range(0, 5000, 500)) <= got
+    assert len(got) < 2000
+    assert near_copies._wanted(docs, rows.limit(0)).count() == 0
+
+
+def test_near_dedup_lets_shuffle_files_go(spark, monkeypatch):
+    import corpus_pipeline
+    from tidemark.llm import near_copies
+
+    texts = just_apart(60)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).repartition(5)
+    held, durable, before = [], near_copies.durable, spark.conf.get(near_copies.SWEEP, None)
+    shuffles = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    for module in (near_copies, simhash_dedup):
+        monkeypatch.setattr(module, "durable", lambda df: (durable(df), held.append(set(map(int, str(shuffles.keySet().mkString(",")).split(",")) if shuffles.size() else ())))[0])
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert len(held) > 12
+    assert len(held[-1] - held[0]) <= 2  # one that is asked whether it is empty reads one row of a task
+    assert spark.conf.get(near_copies.SWEEP, None) == before
+    assert out.count() == len(set(near_groups(texts)))
+
+
 def test_prefixes_meet():
     from tidemark.llm import near_copies
 
